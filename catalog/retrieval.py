@@ -97,7 +97,7 @@ def result_table(spark, sf):
 
 
 def search_by_example(spark, sf):
-    hits = retrieval.search_by_example(lake(spark, sf), ["report", "income increased"])
+    hits = retrieval.search_by_example(lake(spark, sf), ["Tion and", "the by"])
     return hits.withColumn("cosine_similarity", F.round("cosine_similarity", 4))
 
 
@@ -268,7 +268,7 @@ round(similarity_score * 100.0, 1) AS percent FROM x""",
     "result_table": f"""{HITS} SELECT '#' || row_number() OVER (ORDER BY s DESC, chunk_id) AS rank, printf('%.4f', s) AS similarity,
 source_filename, section, CASE WHEN is_table THEN 'Table' ELSE 'Prose' END AS kind,
 replace(substr(text, 1, 150), chr(10), ' ') || '...' AS excerpt FROM hits""",
-    "search_by_example": f"""{V}, ref AS (SELECT embedding AS qe FROM chunk_lake WHERE contains(lower(text), 'report') OR contains(lower(text), 'income increased') ORDER BY chunk_id LIMIT 1)
+    "search_by_example": f"""{V}, ref AS (SELECT embedding AS qe FROM chunk_lake WHERE contains(lower(text), 'tion and') OR contains(lower(text), 'the by') ORDER BY chunk_id LIMIT 1)
 SELECT chunk_id, source_filename, section, is_table, round(s, 4) AS cosine_similarity, substr(text, 1, 140) AS excerpt FROM (
 SELECT c.*, list_cosine_similarity(c.embedding::DOUBLE[], ref.qe::DOUBLE[]) AS s FROM chunk_lake c, ref) ORDER BY s DESC, chunk_id LIMIT 10""",
     "tabular_chunks": f"""{V} SELECT chunk_id, source_filename, section, length(text) AS char_length, text FROM chunk_lake

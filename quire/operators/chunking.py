@@ -49,9 +49,9 @@ def with_sections(documents: DataFrame) -> DataFrame:
 def explode_elements(documents: DataFrame) -> DataFrame:
     """One row per element with its position in the document."""
     others = [c for c in documents.columns if c != "elements"]
-    return documents.select(*others, F.posexplode("elements").alias("position", "_e")).select(
-        *others, "position", "_e.*"
-    )
+    # The outer form: the plain one makes Catalyst infer a size filter, which would parse every document twice.
+    rows = documents.select(*others, F.posexplode_outer("elements").alias("position", "_e"))
+    return rows.where(F.col("position").isNotNull()).select(*others, "position", "_e.*")
 
 
 def section_cascade(
