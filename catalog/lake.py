@@ -148,7 +148,7 @@ QUERIES = {
 
 V = with_views("chunk_lake")
 DATED = f"{V}, l AS (SELECT *, coalesce(filing_date, DATE '{TODAY}') AS d FROM chunk_lake)"
-PATHS = "strftime(d, 'domain=' || domain || '/year=%Y/month=%m/day=%d')"
+PATHS = "'domain=' || domain || strftime(d, '/year=%Y/month=%m/day=%d')"
 UNITS = """CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f KB', size / 1024)
   WHEN size < 1073741824 THEN printf('%.2f MB', size / 1048576) ELSE printf('%.2f GB', size / 1073741824) END"""
 

@@ -10,24 +10,29 @@ MB = KB * 1024
 GB = MB * 1024
 
 
+def _scaled(size: Column, unit: float, decimals: int, label: str) -> Column:
+    """Half-even rounding, as C and Python format exact halves; Java's own formatting rounds them up."""
+    return F.format_string(f"%.{decimals}f {label}", F.bround(size / unit, decimals))
+
+
 def format_bytes(size: Column) -> Column:
     """B, KB (1 decimal), MB and GB (2 decimals)."""
     return (
         F.when(size < KB, F.format_string("%d B", size.cast("bigint")))
-        .when(size < MB, F.format_string("%.1f KB", size / KB))
-        .when(size < GB, F.format_string("%.2f MB", size / MB))
-        .otherwise(F.format_string("%.2f GB", size / GB))
+        .when(size < MB, _scaled(size, KB, 1, "KB"))
+        .when(size < GB, _scaled(size, MB, 2, "MB"))
+        .otherwise(_scaled(size, GB, 2, "GB"))
     )
 
 
 def format_item_size(size: Column) -> Column:
     """The queue's item size, which stops at MB."""
-    return F.when(size < MB, format_bytes(size)).otherwise(F.format_string("%.2f MB", size / MB))
+    return F.when(size < MB, format_bytes(size)).otherwise(_scaled(size, MB, 2, "MB"))
 
 
 def format_volume(size: Column) -> Column:
     """The queue's total volume: MB (1 decimal) or GB (2 decimals)."""
-    return F.when(size < GB, F.format_string("%.1f MB", size / MB)).otherwise(F.format_string("%.2f GB", size / GB))
+    return F.when(size < GB, _scaled(size, MB, 1, "MB")).otherwise(_scaled(size, GB, 2, "GB"))
 
 
 def format_utc(seconds: Column) -> Column:

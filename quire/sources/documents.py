@@ -39,7 +39,7 @@ def as_documents(files: DataFrame) -> DataFrame:
 
 
 def raw_scan(spark: SparkSession, directory: str) -> DataFrame:
-    """Documents of a directory, one row per file; 0-byte files are kept for validation to refuse."""
+    """Documents of a directory, one row per file. The file source never lists 0-byte files, as the intake never takes them."""
     files = spark.read.format("binaryFile").load(directory)
     return as_documents(files.where(is_candidate(base_name(F.col("path")))))
 

@@ -1,0 +1,175 @@
+import math
+from datetime import date
+
+import pytest
+from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
+
+from quire.functions.vectors import cosine
+from quire.operators import presentation, retrieval
+from quire.operators.evaluation import retrieval_eval
+from quire.plans.ask import Request, answer, ask, request_error
+from quire.plans.console import read_only_sql
+from quire.sources.lake import lake_scan, write_lake
+
+SCHEMA = (
+    "chunk_id string, doc_id string, domain string, source_filename string, form_type string, filing_date date,"
+    " section string, is_table boolean, text string, embedding array<float>, metadata_json string"
+)
+ROWS = [
+    ("c1", "d1", "finance", "a.htm", "10-K", date(2024, 2, 21), "Item 1A", False, "risk text", [1.0, 0.0, 0.0], '{"page_number": 4}'),
+    ("c2", "d1", "finance", "a.htm", "10-K", date(2024, 2, 21), "Item 8", True, "<table>x</table>", [0.0, 1.0, 0.0], "not json"),
+    ("c3", "d2", "finance", "b.htm", "10-Q", date(2024, 5, 15), "Item 2", False, "mixed\ntext", [0.7071, 0.7071, 0.0], ""),
+    ("c4", "d3", "literature", "c.txt", "BOOK", date(2023, 1, 10), "Chapter 1", False, "whale", [1.0, 0.0, 0.0], "{}"),
+]
+QUERY = [1.0, 0.0, 0.0]
+
+
+@pytest.fixture(scope="module")
+def lake(spark):
+    return spark.createDataFrame(ROWS, SCHEMA)
+
+
+def found(hits):
+    return [(r["chunk_id"], round(r["similarity_score"], 4)) for r in hits.collect()]
+
+
+def test_search_ranks_by_cosine_in_the_default_domain(lake):
+    assert found(retrieval.search(lake, QUERY)) == [("c1", 1.0), ("c3", 0.7071), ("c2", 0.0)]
+
+
+def test_all_domains_when_none_is_asked(lake):
+    assert [c for c, _ in found(retrieval.search(lake, QUERY, domain=None))] == ["c1", "c4", "c3", "c2"]
+
+
+@pytest.mark.parametrize(
+    "options, expected",
+    [
+        ({"is_table_only": True}, ["c2"]),
+        ({"form_type": "10-Q"}, ["c3"]),
+        ({"start_date": date(2024, 5, 1)}, ["c3"]),
+        ({"end_date": date(2024, 2, 21)}, ["c1", "c2"]),
+        ({"similarity_threshold": 0.8}, ["c1"]),
+        ({"k": 1}, ["c1"]),
+        ({"domain": " Literature "}, ["c4"]),
+        ({"domain": "law"}, []),
+    ],
+)
+def test_search_filters(lake, options, expected):
+    assert [c for c, _ in found(retrieval.search(lake, QUERY, **options))] == expected
+
+
+def test_empty_query_vector_gives_no_rows(lake):
+    assert retrieval.search(lake, []).collect() == []
+
+
+def test_zero_vector_scores_nan_and_ranks_first(spark, lake):
+    zero = lake.where("chunk_id = 'c3'").withColumn("embedding", F.array(*[F.lit(0.0).cast("float")] * 3))
+    hits = retrieval.search(lake.where("chunk_id <> 'c3'").unionByName(zero), QUERY, similarity_threshold=1.0).collect()
+    assert [h["chunk_id"] for h in hits] == ["c3", "c1"]
+    assert math.isnan(hits[0]["similarity_score"])
+
+
+def test_other_vector_length_is_an_error_unless_lenient(lake):
+    with pytest.raises(PySparkException):
+        retrieval.search(lake, [1.0, 0.0]).collect()
+    assert retrieval.search(lake, [1.0, 0.0], lenient=True).collect() == []
+
+
+def test_built_in_cosine_agrees_with_the_batch_scores(lake):
+    query = F.array(*[F.lit(v) for v in (0.3, -0.2, 0.9)])
+    scored = retrieval.with_cosine(lake, [0.3, -0.2, 0.9]).withColumn("other", cosine(F.col("embedding"), query))
+    assert all(abs(r["similarity_score"] - r["other"]) < 1e-12 for r in scored.collect())
+
+
+def test_stored_lake_searches_like_the_table_and_prunes_folders(spark, lake, tmp_path, capsys):
+    root = str(tmp_path / "lake")
+    write_lake(lake, root)
+    stored = lake_scan(spark, root)
+    hits = retrieval.search(stored, QUERY, start_date=date(2024, 5, 1))
+    hits.explain("formatted")
+    plan = capsys.readouterr().out
+    partition_filters = next(line for line in plan.splitlines() if line.startswith("PartitionFilters"))
+    assert "make_date(year" in partition_filters and "domain" in partition_filters
+    assert "GreaterThanOrEqual(filing_date" in plan and "TakeOrderedAndProject" in plan
+    assert found(hits) == [("c3", 0.7071)]
+
+
+def test_many_queries_keep_exact_top_k_with_ties(spark):
+    rows = [(f"k{i:03d}", [1.0, float(i % 3)]) for i in range(200)]
+    lake = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(5)
+    queries = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(5)], "query_id bigint, embedding array<float>")
+    for block in (2, 100):
+        hits = retrieval.multi_query_search(lake, queries, k=7, block=block).collect()
+        got = {q: [h["chunk_id"] for h in sorted(hits, key=lambda h: h["rank"]) if h["query_id"] == q] for q in range(5)}
+        for q in range(5):
+            score = {k: (v[0] + v[1] * q) / math.hypot(*v) / math.hypot(1, q) for k, v in rows}
+            assert got[q] == sorted(score, key=lambda k: (-round(score[k], 9), k))[:7]
+
+
+def test_metadata_parsing(lake):
+    parsed = lake.select("chunk_id", presentation.parse_metadata(F.col("metadata_json")).alias("m")).collect()
+    assert {r["chunk_id"]: r["m"] for r in parsed} == {"c1": {"page_number": "4"}, "c2": {"raw": "not json"}, "c3": {}, "c4": {}}
+
+
+def test_citations_cut_long_text(spark, lake):
+    long = lake.where("chunk_id = 'c1'").withColumn("text", F.repeat(F.lit("x"), F.lit(300)))
+    row = presentation.citations(retrieval.search(long, QUERY)).first()
+    assert row["excerpt"] == "x" * 280 + "..." and row["similarity_score"] == 1.0
+    assert presentation.citations(retrieval.search(lake, QUERY)).first()["excerpt"] == "risk text"
+
+
+def test_answer_names_sources_in_rank_order(lake):
+    request = Request("q")
+    text = answer(retrieval.search(lake, QUERY), request).first()["answer"]
+    assert text.startswith("Grounded analysis based on 3 retrieved context chunks from a.htm, b.htm:\n\n• [Item 1A // Score: 1.0000]: risk text...")
+    assert text.endswith("Primary attribution grounded in a.htm (Item 1A).")
+    nothing = answer(retrieval.search(lake, QUERY, domain="law"), Request("q", domain="law")).first()
+    assert nothing["hits"] == 0 and "for domain 'law'" in nothing["answer"]
+
+
+def test_score_bands(spark):
+    rows = spark.createDataFrame([(0.8,), (0.79,), (0.6,), (0.1,)], "similarity_score double")
+    got = [(r["band"], r["percent"]) for r in presentation.with_score_band(rows).collect()]
+    assert got == [("high", 80.0), ("moderate", 79.0), ("moderate", 60.0), ("low", 10.0)]
+
+
+def test_search_by_example_without_a_match_is_empty(lake):
+    assert retrieval.search_by_example(lake, ["nowhere"]).collect() == []
+    assert retrieval.search_by_example(lake, ["RISK"]).first()["chunk_id"] == "c1"
+
+
+def test_ask_checks_and_runs(lake, spark):
+    for bad in ({"question": ""}, {"question": "q", "top_k": 0}, {"question": "q", "top_k": 101}, {"question": "q", "similarity_threshold": 1.1}):
+        with pytest.raises(ValueError):
+            Request(**bad)
+    assert len(ask(lake, Request("q", similarity_threshold=-1.0), dimension=3).collect()) == 3
+    rows = spark.createDataFrame([("", 5, 0.0), ("q", 0, 0.0), ("q", 5, 2.0), ("q", 5, 0.0)], "q string, k int, t double")
+    errors = [r[0] for r in rows.select(request_error(F.col("q"), F.col("k"), F.col("t"))).collect()]
+    assert [e is None for e in errors] == [False, False, False, True]
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "DROP TABLE t", "DELETE FROM t", "INSERT INTO t VALUES (1)", "UPDATE t SET a = 1", "ALTER TABLE t", "CREATE TABLE t (a INT)",
+        "SELECT replace('a', 'b', 'c')", "SELECT 'update'", "SET x = 1", "CACHE TABLE t", "/* x */ REFRESH TABLE t", "-- x\nADD JAR y",
+    ],
+)
+def test_console_refuses(spark, statement):
+    with pytest.raises(PermissionError):
+        read_only_sql(spark, statement)
+
+
+def test_console_reads_with_parameters(spark, lake):
+    got = read_only_sql(spark, "-- top\nSELECT count(*) AS n FROM lake WHERE domain = ?;", ["finance"], {"lake": lake})
+    assert got.first()["n"] == 3
+    assert read_only_sql(spark, "  ").collect() == []
+    assert read_only_sql(spark, "(SELECT 1 AS one)").first()["one"] == 1
+
+
+def test_retrieval_eval(spark):
+    hits = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "query_id int, chunk_id string")
+    truth = spark.createDataFrame([(1, "a"), (1, "c"), (1, "d"), (3, "a")], "query_id int, chunk_id string")
+    rows = {r["query_id"]: (r["precision"], round(r["recall"], 4), r["passed"]) for r in retrieval_eval(hits, truth, 0.5, 0.3).collect()}
+    assert rows == {1: (0.5, 0.3333, True), 2: (0.0, 0.0, False), 3: (0.0, 0.0, False)}
