@@ -27,15 +27,15 @@ def as_documents(raw: DataFrame) -> DataFrame:
 
 
 def text_docs(spark, sf):
-    return as_documents(view(spark, sf, "raw_text"))
+    return documents.spread(as_documents(view(spark, sf, "raw_text")))
 
 
 def html_docs(spark, sf):
-    return as_documents(view(spark, sf, "raw_html"))
+    return documents.spread(as_documents(view(spark, sf, "raw_html")))
 
 
 def json_docs(spark, sf):
-    return as_documents(view(spark, sf, "raw_json"))
+    return documents.spread(as_documents(view(spark, sf, "raw_json")))
 
 
 def all_docs(spark, sf):
@@ -53,7 +53,7 @@ def raw_scan(spark, sf):
     The text writer ends a file with a line end, so that byte is cut before comparing.
     """
     out = scratch_dir(spark, "raw")
-    view(spark, sf, "raw_text").select("content").write.option("maxRecordsPerFile", 1).text(out)
+    documents.spread(view(spark, sf, "raw_text").select("content")).write.option("maxRecordsPerFile", 1).text(out)
     docs = documents.raw_scan(spark, out)
     text = F.substr("content", F.lit(1), F.length("content") - 1)
     return docs.select(
@@ -128,7 +128,7 @@ def json_elements(spark, sf):
 def token_counts(spark, sf):
     """Tokens of every document, page, turn and benchmark text."""
     texts = [
-        table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"),
+        documents.spread(table(spark, sf, "documents")).select(F.concat(F.lit("d"), "doc_id").alias("id"), "text"),
         table(spark, sf, "pages").select(F.concat(F.lit("p"), "page_id").alias("id"), F.col("html").alias("text")),
         table(spark, sf, "benchmark").select(F.concat(F.lit("b"), "item_id").alias("id"), "text"),
         table(spark, sf, "conversations").select(F.concat(F.lit("c"), "conv_id", F.lit("-"), "turn").alias("id"), "text"),
@@ -181,7 +181,7 @@ LIMITS = splitting.Limits()
 def split_rows(spark, sf):
     """Whole documents and tables as chunks, split."""
     rows = chunk_rows(spark, sf)
-    whole = table(spark, sf, "documents").select(
+    whole = documents.spread(table(spark, sf, "documents")).select(
         F.concat(F.lit("whole-"), "doc_id").alias("doc_id"),
         F.lit(0).alias("position"),
         F.lit("General").alias("section"),
@@ -244,7 +244,7 @@ def hash_embed(spark, sf):
     """Raw double-precision hash vectors by built-in functions, over every document."""
     from quire.functions.vectors import hash_embedding
 
-    rows = table(spark, sf, "documents").select("doc_id", hash_embedding(F.col("text"), 64, False).alias("embedding"))
+    rows = documents.spread(table(spark, sf, "documents")).select("doc_id", hash_embedding(F.col("text"), 64, False).alias("embedding"))
     return rows.select("doc_id", micro().alias("millionths"))
 
 
@@ -269,7 +269,7 @@ def embed_chunks(spark, sf):
     """Every document embedded with the profile of a domain set by its number."""
     domain = F.element_at(F.array(*map(F.lit, ("finance", "literature", "general"))), (F.col("doc_id") % 3 + 1).cast("int"))
     text = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.col("text"))
-    rows = table(spark, sf, "documents").select("doc_id", text.alias("text"), domain.alias("domain"))
+    rows = documents.spread(table(spark, sf, "documents")).select("doc_id", text.alias("text"), domain.alias("domain"))
     embedded = embedding.embed_chunks(rows)
     # Stored as float32, so four decimals of the scaled value are compared.
     values = F.transform("embedding", lambda v: F.round(v.cast("double") * 1e4).cast("bigint").cast("string"))

@@ -13,6 +13,7 @@ from quire.operators import elements, filings, queue
 from quire.sources import filings as indexes
 from quire.sources import queue as listings
 from quire.sources import records
+from quire.sources.documents import spread
 from quire.sources.scratch import scratch_dir
 
 
@@ -70,7 +71,7 @@ def date_presets(spark, sf):
 def queue_files(spark, sf):
     """The queue's documents written one per file into the three folders and listed again."""
     base = scratch_dir(spark, "queue")
-    docs = view(spark, sf, "queue").select("status", F.repeat(F.lit("x"), F.col("file_size_bytes").cast("int")).alias("text"))
+    docs = spread(view(spark, sf, "queue")).select("status", F.repeat(F.lit("x"), F.col("file_size_bytes").cast("int")).alias("text"))
     folders = {}
     for status in listings.STATUSES:
         folders[status] = f"{base}/{status.lower()}"

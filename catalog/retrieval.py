@@ -88,8 +88,7 @@ def grounded_digest(spark, sf):
 
 def score_band(spark, sf):
     scored = retrieval.with_cosine(lake(spark, sf), query_vector(spark, sf)).select("chunk_id", "similarity_score")
-    rounded_scores = scored.withColumn("similarity_score", F.round(F.abs("similarity_score") * 2.2, 6))
-    return presentation.with_score_band(rounded_scores)
+    return rounded(presentation.with_score_band(scored.withColumn("similarity_score", F.abs("similarity_score") * 2.2)))
 
 
 def result_table(spark, sf):
@@ -262,9 +261,9 @@ named AS (SELECT *, {FIRSTS} AS firsts FROM kept)
 SELECT q.query_id, coalesce(len(lines), 0) AS hits, CASE WHEN lines IS NULL THEN
   'No relevant context chunks were located in the lakehouse for domain ''finance'' matching the query and active metadata filters.'
   ELSE {digest_sql("lines")} END AS answer FROM q LEFT JOIN named n ON n.query_id = q.query_id""",
-    "score_band": f"""{SCORED}, x AS (SELECT chunk_id, round(abs(s) * 2.2, 6) AS similarity_score FROM scored)
-SELECT *, CASE WHEN similarity_score >= 0.8 THEN 'high' WHEN similarity_score >= 0.6 THEN 'moderate' ELSE 'low' END AS band,
-round(similarity_score * 100.0, 1) AS percent FROM x""",
+    "score_band": f"""{SCORED}, x AS (SELECT chunk_id, abs(s) * 2.2 AS v FROM scored)
+SELECT chunk_id, round(v, 6) AS similarity_score, round(v * 100.0, 1) AS percent,
+CASE WHEN v >= 0.8 THEN 'high' WHEN v >= 0.6 THEN 'moderate' ELSE 'low' END AS band FROM x""",
     "result_table": f"""{HITS} SELECT '#' || row_number() OVER (ORDER BY s DESC, chunk_id) AS rank, printf('%.4f', s) AS similarity,
 source_filename, section, CASE WHEN is_table THEN 'Table' ELSE 'Prose' END AS kind,
 replace(substr(text, 1, 150), chr(10), ' ') || '...' AS excerpt FROM hits""",

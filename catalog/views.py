@@ -70,10 +70,10 @@ FROM (SELECT doc_no AS doc_id, filename FROM raw_text) r
 WHERE doc_id % 3 <> 2
 """
 
+# One observed file per user; its size changes every few days.
 FILE_OBSERVATIONS = """
 SELECT concat('f', CAST(user_id AS STRING), '.htm') AS path, ts AS observed_at, event_id,
-       CAST(SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)
-            OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS size
+       CAST(floor(((year(ts) * 12 + month(ts)) * 31 + day(ts) + user_id) / 12.0) AS BIGINT) % 50 AS size
 FROM events
 """
 

@@ -12,6 +12,21 @@ from quire.schema import DEFAULT_PROFILE, DOCUMENT_SUFFIXES, SIDECAR, SIDECAR_SU
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
+SPLIT_BYTES = 128 * 1024 * 1024
+
+
+def spread(documents: DataFrame) -> DataFrame:
+    """Documents over all cores when the input is too small to be cut that far by itself.
+
+    Parsing is bound by CPU and a small table may be one file, hence one task. The shuffle is taken only for inputs
+    that fit one scan split per core; larger ones are cut by the scan and stay where they are.
+    """
+    cores = documents.sparkSession.sparkContext.defaultParallelism
+    size = documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    small = int(str(size)) < cores * SPLIT_BYTES
+    return documents.repartition(cores) if small and len(documents.inputFiles()) < cores else documents
+
+
 def is_candidate(name: Column) -> Column:
     """Names the intake accepts: a document suffix in any case, no sidecar, hidden or unfinished file."""
     lower = F.lower(name)
