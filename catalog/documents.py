@@ -401,12 +401,12 @@ chunks AS (SELECT filename AS doc_id, position, {CASCADE} AS section, html IS NO
 MICRO = "array_to_string(list_transform({v}, lambda v: CAST(CAST(round(v * 1e6) AS BIGINT) AS VARCHAR)), ',')"
 
 
-def hash_sql(text: str, dimension: str) -> str:
-    """Scaled integers of the SHA-256 blocks, as a list."""
-    digest = f"sha256({text} || ':' || CAST(i // 8 AS VARCHAR))"
-    at = "(i % 8) * 8"
-    word = " || ".join(f"substr({digest}, {at} + {7 - 2 * b}, 2)" for b in range(4))
-    return f"list_transform(range({dimension}), lambda i: CAST(CAST('0x' || {word} AS BIGINT) AS DOUBLE) / 4294967295.0 * 2.0 - 1.0)"
+def hash_sql(key: str, text: str, dimension: str) -> str:
+    """A query giving ``key`` and the scaled integers of the SHA-256 blocks as list ``e``; each block is hashed once."""
+    word = " || ".join(f"substr(h[i // 8 + 1], (i % 8) * 8 + {7 - 2 * b}, 2)" for b in range(4))
+    return f"""SELECT {key}, list_transform(range(dim), lambda i: CAST(CAST('0x' || {word} AS BIGINT) AS DOUBLE) / 4294967295.0 * 2.0 - 1.0) AS e
+  FROM (SELECT {key}, dim, list_transform(range((dim + 7) // 8), lambda b: sha256(t || ':' || CAST(b AS VARCHAR))) AS h
+        FROM (SELECT {key}, {text} AS t, {dimension} AS dim FROM documents))"""
 
 
 SIDECAR_META = """
@@ -466,7 +466,7 @@ CASE WHEN position % 3 = 0 THEN ',"page_number":' || (position + 1) ELSE '' END
   UNION ALL SELECT 'whole-' || doc_id, text FROM documents),
 w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM t)
 SELECT doc_id, count(*) AS words FROM w GROUP BY doc_id""",
-    "hash_embed": f"SELECT doc_id, {MICRO.format(v='e')} AS millionths FROM (SELECT doc_id, {hash_sql('text', '64')} AS e FROM documents)",
+    "hash_embed": f"SELECT doc_id, {MICRO.format(v='e')} AS millionths FROM ({hash_sql('doc_id', 'text', '64')})",
     "l2_normalize": f"""SELECT vec_id, {MICRO.format(v='list_transform(e, lambda x: CASE WHEN n > 1e-9 THEN x / n ELSE 1 / sqrt(len(e)) END)')} AS millionths
 FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * label) AS e FROM embeddings))""",
@@ -475,7 +475,7 @@ FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
     "embed_chunks": f"""SELECT doc_id, len(e) AS dimension,
 array_to_string(list_transform(e, lambda x: CAST(CAST(round(CAST(CAST(x / n AS FLOAT) AS DOUBLE) * 1e4) AS BIGINT) AS VARCHAR)), ',') AS e4
 FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
-  SELECT doc_id, {hash_sql("CASE WHEN doc_id % 50 = 0 THEN '__empty__' ELSE text END", "[384, 768, 1024][doc_id % 3 + 1]")} AS e FROM documents))""",
+  {hash_sql("doc_id", "CASE WHEN doc_id % 50 = 0 THEN '__empty__' ELSE text END", "[384, 768, 1024][doc_id % 3 + 1]")}))""",
     "ingest_pipeline": f"""{CHUNKS}, {SIDECAR_META.replace("raw_text r", "raw_text r")},
 named AS (SELECT d.filename, m, coalesce(m ->> '$.doc_id', substr(sha256(d.content), 1, 16)) AS did FROM docs d LEFT JOIN meta ON meta.filename = d.filename)
 SELECT c.doc_id AS source_filename, did AS doc_id, coalesce(m ->> '$.domain', 'finance') AS domain,
