@@ -41,10 +41,11 @@ def scan(spark, sf):
 
 
 def lake_search(spark, sf):
-    """Search over the stored lake: the date range skips folders."""
+    """Search over the stored lake: the date range skips folders, and text is read for the winners only."""
     stored = lake_scan(spark, written(spark, sf))
-    hits = retrieval.search(stored, query_vector(spark, sf), start_date=date(2024, 3, 1), end_date=date(2024, 9, 30), k=15)
-    return rounded(hits).select("chunk_id", "filing_date", "similarity_score")
+    options = {"start_date": date(2024, 3, 1), "end_date": date(2024, 9, 30), "k": 15}
+    hits = retrieval.search_stored(stored, query_vector(spark, sf), **options)
+    return rounded(hits).select("chunk_id", "filing_date", "text", "similarity_score")
 
 
 def embedding_check(spark, sf):
@@ -157,7 +158,7 @@ ORACLES = {
 FROM l WHERE domain = 'finance'""",
     "write_lake": f"""{DATED} SELECT * EXCLUDE (d, embedding), year(d)::INT AS year, month(d)::INT AS month, day(d)::INT AS day,
 array_to_string(list_transform(embedding, lambda v: CAST(CAST(round(CAST(v AS DOUBLE) * 1e4) AS BIGINT) AS VARCHAR)), ',') AS embedding FROM l""",
-    "lake_search": f"""{SCORED} SELECT chunk_id, filing_date, round(s, 6) AS similarity_score FROM (SELECT * FROM scored
+    "lake_search": f"""{SCORED} SELECT chunk_id, filing_date, text, round(s, 6) AS similarity_score FROM (SELECT * FROM scored
 WHERE domain = 'finance' AND filing_date BETWEEN DATE '2024-03-01' AND DATE '2024-09-30' ORDER BY s DESC, chunk_id LIMIT 15) WHERE s >= 0""",
     "embedding_check": f"""{V}, m AS (SELECT chunk_id FROM chunk_lake WHERE CAST(substr(chunk_id, 2, 6) AS INT) % 10 IN (3, 4))
 SELECT count(*) AS missing, array_to_string(list(chunk_id ORDER BY chunk_id)[1:3], ',') AS examples FROM m""",

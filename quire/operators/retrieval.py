@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import truncate
 from quire.functions.vectors import cosine_scores, cosine_to, rows_matrix
+from quire.schema import PARTITIONS
 from quire.sources.lake import date_bounds
 
 HIT_COLUMNS = ("chunk_id", "source_filename", "section", "text", "is_table", "form_type", "filing_date", "metadata_json")
@@ -83,6 +84,40 @@ def search(
     return threshold(top_k(scored, k), similarity_threshold)
 
 
+def search_stored(
+    lake: DataFrame,
+    query_vector: Sequence[float],
+    *,
+    domain: str | None = "finance",
+    form_type: str | None = None,
+    start_date: date | None = None,
+    end_date: date | None = None,
+    is_table_only: bool = False,
+    k: int = 5,
+    similarity_threshold: float = 0.0,
+    lenient: bool = False,
+) -> DataFrame:
+    """``search`` over a lake scan that reads text for the winners only.
+
+    The ranking pass reads vectors and filter columns. The k winners, known by file and row, are then joined back on
+    their folders, which Spark prunes at run time to at most k of them. Rows come out in ranking order.
+    """
+    if not len(query_vector):
+        return search(lake, query_vector)
+    place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
+    rows = metadata_filter(lake.withColumns(place), domain, form_type, start_date, end_date, is_table_only)
+    keys = [*PARTITIONS, *place]
+    scored = with_cosine(rows.select(*keys, "chunk_id", "embedding"), query_vector, lenient).drop("embedding")
+    best = threshold(top_k(scored, k), similarity_threshold).drop("chunk_id")
+    texts = lake.withColumns(place).select(*HIT_COLUMNS, *keys)
+    return (
+        texts.join(best, keys)
+        .select(*HIT_COLUMNS, "similarity_score")
+        .orderBy(F.desc("similarity_score"), "chunk_id")
+        .limit(max(1, k))
+    )
+
+
 def search_by_example(lake: DataFrame, phrases: Sequence[str], k: int = 10) -> DataFrame:
     """Chunks nearest to the first chunk that contains any of the phrases; no rows when none does.
 

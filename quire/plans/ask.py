@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quire.operators.embedding import embed_question
 from quire.operators.presentation import grounded_digest
-from quire.operators.retrieval import search
+from quire.operators.retrieval import search, search_stored
 from quire.schema import DEFAULT_PROFILE
 
 
@@ -51,10 +51,11 @@ def request_error(question: Column, top_k: Column, threshold: Column) -> Column:
     )
 
 
-def ask(lake: DataFrame, request: Request, dimension: int | None = None) -> DataFrame:
-    """Ranked hits for a request, embedded by its domain's profile."""
+def ask(lake: DataFrame, request: Request, dimension: int | None = None, stored: bool = False) -> DataFrame:
+    """Ranked hits for a request, embedded by its domain's profile; ``stored`` for a lake scan, to read less text."""
     vector = embed_question(request.question, request.domain or DEFAULT_PROFILE, dimension)
-    return search(
+    find = search_stored if stored else search
+    return find(
         lake,
         vector,
         domain=request.domain,

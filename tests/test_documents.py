@@ -77,7 +77,7 @@ def test_text_and_json_elements(spark):
         ("NarrativeText", "x", None), ("NarrativeText", '{"k":1}', None), ("NarrativeText", "True", None), ("NarrativeText", "None", None),
     ]
     assert cut(spark, "a.json", '"word"') == [("NarrativeText", "word", None)]
-    assert cut(spark, "a.json", '{"k": [1]}') == [("NarrativeText", '{"k":[1]}', None)]
+    assert cut(spark, "a.json", '{"k": [1]}\n') == [("NarrativeText", '{"k": [1]}', None)]
 
 
 @pytest.mark.parametrize(

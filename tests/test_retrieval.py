@@ -95,6 +95,21 @@ def test_stored_lake_searches_like_the_table_and_prunes_folders(spark, lake, tmp
     assert found(hits) == [("c3", 0.7071)]
 
 
+def test_stored_search_reads_text_of_winners_only(spark, lake, tmp_path, capsys):
+    root = str(tmp_path / "lake")
+    write_lake(lake, root)
+    write_lake(lake.where("chunk_id = 'c1'"), root)  # the same chunk stored twice stays two hits
+    stored = lake_scan(spark, root)
+    for options in ({}, {"domain": None, "k": 2}, {"start_date": date(2024, 5, 1)}, {"similarity_threshold": 0.8}, {"domain": "law"}):
+        hits = retrieval.search_stored(stored, QUERY, **options)
+        assert sorted(map(str, hits.collect())) == sorted(map(str, retrieval.search(stored, QUERY, **options).collect()))
+    retrieval.search_stored(stored, QUERY).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "dynamicpruning" in plan
+    reads = [line for line in plan.splitlines() if line.startswith("ReadSchema")]
+    assert {("text:" in r, "embedding:" in r) for r in reads} == {(False, True), (True, False)}
+
+
 def test_many_queries_keep_exact_top_k_with_ties(spark):
     rows = [(f"k{i:03d}", [1.0, float(i % 3)]) for i in range(200)]
     lake = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(5)
