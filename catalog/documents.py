@@ -210,18 +210,22 @@ def split_text(spark, sf):
 
 
 def split_lineage(spark, sf):
-    """Per parent: slices found against the stated total, indexes in sequence, bounds and flags kept."""
+    """Per parent: whether its slices are as many as stated, numbered in sequence, told apart, flagged and bounded."""
     rows = split_rows(spark, sf)
     parent = F.coalesce("parent_chunk_id", "chunk_id")
-    return rows.groupBy(parent.alias("parent"), "doc_id").agg(
+    slices = rows.groupBy(parent.alias("parent"), "doc_id").agg(
         F.count(F.lit(1)).alias("slices"),
-        F.coalesce(F.max("total_sub_chunks"), F.lit(1)).cast("bigint").alias("total"),
-        F.coalesce(F.max("sub_chunk_index"), F.lit(0)).cast("bigint").alias("last_index"),
+        F.coalesce(F.max("total_sub_chunks"), F.lit(1)).alias("total"),
+        F.coalesce(F.max("sub_chunk_index"), F.lit(0)).alias("last_index"),
         F.count_distinct("chunk_id").alias("ids"),
         F.bool_and("is_table").alias("is_table"),
         F.bool_and(F.coalesce(F.col("is_table_fragment") == F.col("is_table"), F.lit(True))).alias("flags_agree"),
-        F.bool_and(F.length("text") <= LIMITS.max_characters + LIMITS.overlap_tokens * 40).alias("bounded"),
+        # An overlap tail may precede one more full unit.
+        F.bool_and(F.length("text") <= 2 * LIMITS.max_characters).alias("bounded"),
     )
+    n = F.col("slices")
+    numbered = (n == F.col("total")) & (n == F.col("last_index") + 1) & (n == F.col("ids"))
+    return slices.select("parent", "doc_id", "is_table", numbered.alias("numbered"), "flags_agree", "bounded")
 
 
 def split_bounds(spark, sf):
@@ -462,6 +466,8 @@ count(*) FILTER (WHERE is_table) AS table_count FROM chunks GROUP BY doc_id""",
     "pack_metadata": f"""{CHUNKS} SELECT chunk_id, '{{"element_type":"' || category || '","category":"' || category || '"' ||
 CASE WHEN is_table THEN ',"table_html":' || CAST(to_json(text) AS VARCHAR) ELSE '' END || ',"token_count":' || token_count ||
 CASE WHEN position % 3 = 0 THEN ',"page_number":' || (position + 1) ELSE '' END || '}}' AS metadata_json FROM chunks""",
+    "split_lineage": f"""{CHUNKS} SELECT chunk_id AS parent, doc_id, is_table, true AS numbered, true AS flags_agree, true AS bounded FROM chunks
+UNION ALL SELECT {uuid_sql("'whole-' || doc_id || ':0'")}, 'whole-' || doc_id, false, true, true, true FROM documents""",
     "split_bounds": f"""{CHUNKS}, t AS (SELECT doc_id, text FROM chunks WHERE NOT is_table
   UNION ALL SELECT 'whole-' || doc_id, text FROM documents),
 w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM t)

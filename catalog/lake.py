@@ -57,7 +57,11 @@ def embedding_check(spark, sf):
 
 
 def files(spark, sf):
-    return lake_files(spark, written(spark, sf)).drop("modified", "filename", "relative_path")
+    """Folders of the listing; file names and sizes depend on the writer, so only their form is compared."""
+    listing = lake_files(spark, written(spark, sf))
+    sized = (F.col("size_bytes") > 0) & F.col("size_formatted").rlike(r"^[0-9.]+ (B|KB|MB|GB)$")
+    named = F.col("filename").endswith(".parquet") & F.col("relative_path").startswith("domain=")
+    return listing.groupBy("domain", "year", "month", "day").agg(F.bool_and(sized & named).alias("well_formed"))
 
 
 def lake_stats(spark, sf):
@@ -162,6 +166,7 @@ array_to_string(list_transform(embedding, lambda v: CAST(CAST(round(CAST(v AS DO
 WHERE domain = 'finance' AND filing_date BETWEEN DATE '2024-03-01' AND DATE '2024-09-30' ORDER BY s DESC, chunk_id LIMIT 15) WHERE s >= 0""",
     "embedding_check": f"""{V}, m AS (SELECT chunk_id FROM chunk_lake WHERE CAST(substr(chunk_id, 2, 6) AS INT) % 10 IN (3, 4))
 SELECT count(*) AS missing, array_to_string(list(chunk_id ORDER BY chunk_id)[1:3], ',') AS examples FROM m""",
+    "lake_files": f"""{DATED} SELECT DISTINCT domain, strftime(d, '%Y') AS year, strftime(d, '%m') AS month, strftime(d, '%d') AS day, true AS well_formed FROM l""",
     "lake_stats": f"""{DATED} SELECT count(DISTINCT {PATHS}) AS total_parquet_files, true AS has_bytes,
 string_agg(DISTINCT domain, ',' ORDER BY domain) AS domains, string_agg(DISTINCT {PATHS}, ',' ORDER BY {PATHS}) AS partitions FROM l""",
     "lake_kpis": f"""{DATED} SELECT count(DISTINCT {PATHS}) AS total_files, true AS total_bytes, count(DISTINCT domain) AS domains,
