@@ -35,9 +35,14 @@ def format_volume(size: Column) -> Column:
     return F.when(size < GB, _scaled(size, MB, 1, "MB")).otherwise(_scaled(size, GB, 2, "GB"))
 
 
+def utc_text(time: Column) -> Column:
+    """A timestamp as UTC text, whatever the session's zone."""
+    return F.date_format(F.to_utc_timestamp(time, F.current_timezone()), "yyyy-MM-dd HH:mm:ss")
+
+
 def format_utc(seconds: Column) -> Column:
-    """Epoch seconds as UTC text; needs a UTC session."""
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd HH:mm:ss")
+    """Epoch seconds as UTC text."""
+    return utc_text(F.timestamp_seconds(seconds))
 
 
 def score_band(score: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.functions.display import format_bytes
+from quire.functions.display import format_bytes, utc_text
 from quire.functions.text import base_name, strip
 from quire.schema import LAKE, PARTITIONS
 from quire.sources.scratch import path_exists
@@ -132,6 +132,6 @@ def lake_files(spark: SparkSession, root: str) -> DataFrame:
             "relative_path",
             F.col("length").alias("size_bytes"),
             format_bytes(F.col("length")).alias("size_formatted"),
-            F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss").alias("modified"),
+            utc_text(F.col("modificationTime")).alias("modified"),
         )
     )

@@ -2,13 +2,11 @@ import json
 import os
 from datetime import date, datetime, timedelta
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions.display import format_bytes, format_item_size, format_volume
 from quire.operators import filings, queue, telemetry
-from quire.operators.splitting import Limits
 from quire.plans import ingest
 from quire.operators.retrieval import search
 from quire.sources import filings as indexes
@@ -244,7 +242,16 @@ def test_queue_over_folders(spark, folders):
     assert listings.queue_files(spark, "/none/a", "/none/b", "/none/c").collect() == []
 
 
-def test_queue_metrics(spark):
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles"])
+def test_queue_metrics(spark, zone):
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        check_queue_metrics(spark)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def check_queue_metrics(spark):
     rows = [("a", "PENDING", 100, 1.0), ("b", "PROCESSED", 200, 2.0), ("c", "PROCESSED", 300, 1704067200.0), ("d", "PROCESSED", 500, 3.0), ("e", "FAILED", 50, 9e9)]
     schema = "filename string, status string, file_size_bytes bigint, mtime double"
     m = queue.queue_metrics(spark.createDataFrame(rows, schema)).first()
