@@ -16,7 +16,7 @@ BACKOFF = 0.4
 MIN_COUNT = 2  # of n-grams of two words or more; rarer ones are left out of the tables
 KEY_BITS = 56  # of an n-gram's hash
 CHUNK = 8 << 20  # bytes of text whose n-grams are looked up together
-PART = 16 << 20  # bytes of text for each partition of the tables
+PART = 8 << 20  # bytes of text for each partition of the tables
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -45,26 +45,34 @@ def _real(keys: np.ndarray) -> np.ndarray:
 
 
 def packed(keys: np.ndarray, base: int) -> tuple[bytes, int]:
-    """Sorted keys as differences, each of as many bytes as the largest needs."""
+    """Sorted keys as differences of as many bytes as the largest needs, bytes of one weight together."""
     gaps = np.diff(keys, prepend=np.uint64(base))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(gaps) else 1
-    return gaps.view(np.uint8).reshape(-1, 8)[:, :width].tobytes(), width
+    width = max(1, (int(gaps.max()).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 8)[:, :width].T)
+    return pa.compress(planes.tobytes(), "zstd", asbytes=True), width
 
 
-def unpacked(data: bytes, width: int, base: int) -> np.ndarray:
-    narrow = np.frombuffer(data, np.uint8).reshape(-1, width)
-    wide = np.zeros((len(narrow), 8), np.uint8)
-    wide[:, :width] = narrow
+def unpacked(data: bytes, width: int, n: int, base: int) -> np.ndarray:
+    wide = np.zeros((n, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(pa.decompress(data, n * width, "zstd", asbytes=True), np.uint8).reshape(width, n).T
     return np.cumsum(wide.view(np.uint64).ravel()) + np.uint64(base)
 
 
-def small(numbers: np.ndarray) -> tuple[bytes, str]:
-    kind = "u1" if not len(numbers) or numbers.max() < 256 else "u4" if numbers.max() < 1 << 32 else "u8"
-    return numbers.astype(kind).tobytes(), kind
+def small(numbers: np.ndarray) -> tuple[int, bytes, bytes]:
+    """Numbers as how many, a byte each, and in full those that a byte cannot hold."""
+    low = np.minimum(numbers, 255).astype(np.uint8)
+    return len(low), pa.compress(low.tobytes(), "zstd", asbytes=True), numbers[low == 255].astype(np.int64).tobytes()
 
 
-ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("width", pa.int32()), ("counts", pa.binary()), ("kind", pa.string())])
-TOLD = pa.schema([("chunk", pa.int32()), ("n", pa.int32()), ("part", pa.int32()), ("counts", pa.binary()), ("kind", pa.string())])
+def restored(n: int, low: bytes, high: bytes) -> np.ndarray:
+    out = np.frombuffer(pa.decompress(low, n, "zstd", asbytes=True), np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(high, np.int64)
+    return out
+
+
+COUNTS = [("length", pa.int64()), ("low", pa.binary()), ("high", pa.binary())]
+ASKED = pa.schema([("part", pa.int32()), ("chunk", pa.int32()), ("n", pa.int32()), ("keys", pa.binary()), ("width", pa.int32()), *COUNTS])
+TOLD = pa.schema([("chunk", pa.int32()), ("n", pa.int32()), ("part", pa.int32()), *COUNTS])
 
 
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
@@ -123,8 +131,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
             own: dict[int, list[np.ndarray]] = {}
             counts = []
             for r in (r for r in rows if r["n"] == n):
-                own.setdefault(r["chunk"], []).append(unpacked(r["keys"], r["width"], r["part"] << int(shift)))
-                counts.append((r["chunk"], np.frombuffer(r["counts"], r["kind"])))
+                keys = unpacked(r["keys"], r["width"], r["length"], r["part"] << int(shift))
+                own.setdefault(r["chunk"], []).append(keys)
+                counts.append((r["chunk"], restored(r["length"], r["low"], r["high"])))
             by_chunk: dict[int, list[np.ndarray]] = {}
             for c, x in counts:
                 by_chunk.setdefault(c, []).append(x)
@@ -150,7 +159,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         found: list[np.ndarray] = []
         by_order: dict[int, list[tuple[int, np.ndarray]]] = {}
         for r in told.to_pylist():
-            by_order.setdefault(r["n"], []).append((r["part"], np.frombuffer(r["counts"], r["kind"])))
+            by_order.setdefault(r["n"], []).append((r["part"], restored(r["length"], r["low"], r["high"])))
         for n, key in enumerate(keys, 1):
             real = key != ~np.uint64(0)
             counts = np.zeros(len(key), np.int64)
@@ -174,9 +183,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
         return pa.table(columns, names=["id", "n_words", "n_single", "log_part"])
 
     asked = rows.select("chunk", "text").mapInArrow(
-        ask, "part int, chunk int, n int, keys binary, width int, counts binary, kind string"
+        ask, "part int, chunk int, n int, keys binary, width int, length long, low binary, high binary"
     )
-    told = asked.groupBy("part").applyInArrow(tell, "chunk int, n int, part int, counts binary, kind string")
+    told = asked.groupBy("part").applyInArrow(tell, "chunk int, n int, part int, length long, low binary, high binary")
     parts = rows.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(add_up, result_schema)
     parts = stored(parts, "log-scores")
     total = parts.agg(F.sum("n_words")).first()[0] or 1
