@@ -55,7 +55,7 @@ def select_filings(spark, sf):
 
 def select_filings_year(spark, sf):
     rows = view(spark, sf, "filings")
-    return filings.select_filings(rows, "10-Q", year=2024, limit=2).select("ticker", "accession", "report_date")
+    return filings.select_filings(rows, "10-Q", year=1997, limit=2).select("ticker", "accession", "report_date")
 
 
 def filing_targets(spark, sf):
@@ -113,7 +113,7 @@ def queue_filter(spark, sf):
 
 def queue_sort(spark, sf):
     ordered = queue.queue_sort(view(spark, sf, "queue").select("filename", "mtime"))
-    return ordered.limit(50)
+    return ordered
 
 
 def queue_metrics(spark, sf):
@@ -237,7 +237,7 @@ CASE WHEN o_orderkey % 2 = 0 THEN ['2024-01-01', '2024-02-02', ''][i] ELSE '' EN
     "select_filings": f"{with_views('filings')}, {F10K} SELECT ticker, accession, filing_date, position FROM sel",
     "select_filings_year": f"""{with_views('filings')} SELECT ticker, accession, report_date FROM (
 SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY position) AS r FROM filings
-WHERE form = '10-Q' AND (filing_date LIKE '2024%' OR report_date LIKE '2024%')) WHERE r <= 2""",
+WHERE form = '10-Q' AND (filing_date LIKE '1997%' OR report_date LIKE '1997%')) WHERE r <= 2""",
     "filing_targets": f"""{with_views('filings')} SELECT position, 'https://www.sec.gov/Archives/edgar/data/' || CAST(CAST(cik AS BIGINT) AS VARCHAR) || '/' ||
 replace(accession, '-', '') || '/' || primary_document AS document_url, {TARGET} AS target_filename FROM filings""",
     "date_presets": """SELECT o_orderkey, d AS day, d - 365 AS trailing_start, make_date(year(d), 1, 1) AS ytd_start, year(d) = 2024 AS fiscal_2024
@@ -246,7 +246,7 @@ FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""",
     "queue_items": f"{ITEMS} SELECT * EXCLUDE (n) FROM items",
     "queue_filter": f"""{ITEMS} SELECT filename, status, form_type, ticker FROM items WHERE status = 'PROCESSED' AND
 contains(lower(filename) || ' ' || coalesce(lower(ticker), '') || ' ' || coalesce(lower(form_type), '') || ' ' || coalesce(lower(company_name), ''), '10-q')""",
-    "queue_sort": f"{with_views('queue')} SELECT filename, mtime FROM queue ORDER BY mtime DESC, filename LIMIT 50",
+    "queue_sort": f"{with_views('queue')} SELECT filename, mtime FROM queue",
     "queue_metrics": f"""{with_views('queue')} SELECT count(*) FILTER (WHERE status = 'PENDING') AS incoming_count,
 count(*) FILTER (WHERE status = 'PROCESSED') AS processed_count, count(*) FILTER (WHERE status = 'FAILED') AS failed_count,
 CAST(coalesce(sum(file_size_bytes) FILTER (WHERE status = 'PROCESSED'), 0) AS BIGINT) AS total_processed_bytes,

@@ -50,7 +50,7 @@ def lake_search(spark, sf):
 
 def embedding_check(spark, sf):
     """Vectors of one label removed, of another emptied: the count and three identifiers a write would report."""
-    label = F.substring("chunk_id", 2, 6).cast("int") % 10
+    label = F.substring("chunk_id", 2, 9).cast("int") % 10
     vector = F.when(label == 3, F.lit(None)).when(label == 4, F.array().cast("array<float>")).otherwise(F.col("embedding"))
     found = missing_embeddings(lake(spark, sf).withColumn("embedding", vector))
     return found.select("missing", F.array_join("examples", ",").alias("examples"))
@@ -164,7 +164,7 @@ FROM l WHERE domain = 'finance'""",
 array_to_string(list_transform(embedding, lambda v: CAST(CAST(round(CAST(v AS DOUBLE) * 1e4) AS BIGINT) AS VARCHAR)), ',') AS embedding FROM l""",
     "lake_search": f"""{SCORED} SELECT chunk_id, filing_date, text, round(s, 6) AS similarity_score FROM (SELECT * FROM scored
 WHERE domain = 'finance' AND filing_date BETWEEN DATE '2024-03-01' AND DATE '2024-09-30' ORDER BY s DESC, chunk_id LIMIT 15) WHERE s >= 0""",
-    "embedding_check": f"""{V}, m AS (SELECT chunk_id FROM chunk_lake WHERE CAST(substr(chunk_id, 2, 6) AS INT) % 10 IN (3, 4))
+    "embedding_check": f"""{V}, m AS (SELECT chunk_id FROM chunk_lake WHERE CAST(substr(chunk_id, 2, 9) AS INT) % 10 IN (3, 4))
 SELECT count(*) AS missing, array_to_string(list(chunk_id ORDER BY chunk_id)[1:3], ',') AS examples FROM m""",
     "lake_files": f"""{DATED} SELECT DISTINCT domain, strftime(d, '%Y') AS year, strftime(d, '%m') AS month, strftime(d, '%d') AS day, true AS well_formed FROM l""",
     "lake_stats": f"""{DATED} SELECT count(DISTINCT {PATHS}) AS total_parquet_files, true AS has_bytes,

@@ -30,7 +30,7 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = 0) -> list[float]:
 
 
 def query_table(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").where("vec_id < 10").select(F.col("vec_id").alias("query_id"), "embedding")
+    return table(spark, sf, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -115,8 +115,8 @@ def evaluation(spark, sf):
     queries = query_table(spark, sf)
     hits = retrieval.multi_query_search(chunks, queries, 10)
     # A query's own row names its domain and form: an equi-join, one row per query on the left.
-    own = chunks.select(F.substring("chunk_id", 2, 6).cast("bigint").alias("query_id"), "domain", "form_type")
-    asked = own.where("query_id < 10")
+    own = chunks.select(F.substring("chunk_id", 2, 9).cast("bigint").alias("query_id"), "domain", "form_type")
+    asked = own.join(queries.select("query_id"), "query_id", "left_semi")
     truth = chunks.join(asked, ["domain", "form_type"]).select("query_id", "chunk_id")
     result = retrieval_eval(hits, truth, 0.1, 0.01)
     return result.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
@@ -189,10 +189,6 @@ def dist_year(spark, sf):
     return presentation.distribution(dated(spark, sf), ("domain", "year"))
 
 
-def describe_lake(spark, sf):
-    return presentation.describe_lake(spark, lake(spark, sf))
-
-
 QUERIES = {
     "search": search,
     "cosine": cosine,
@@ -209,7 +205,6 @@ QUERIES = {
     "count_by_domain": count_by_domain,
     "dist_year_form": dist_year_form,
     "dist_year": dist_year,
-    "describe_lake": describe_lake,
     "prompt_search": prompt_search,
     "read_only_sql": console_sql,
     "request_checks": request_checks,
@@ -225,7 +220,7 @@ scored AS (SELECT c.*, list_cosine_similarity(c.embedding::DOUBLE[], q.qe::DOUBL
 HITS = f"""{SCORED}, hits AS (
   SELECT * FROM (SELECT * FROM scored WHERE domain = 'finance' AND filing_date >= DATE '2024-01-15'
                  ORDER BY s DESC, chunk_id LIMIT 20) WHERE s >= 0)"""
-PAIRS = f"""{V}, q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id < 10),
+PAIRS = f"""{V}, q AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 100 = 0),
 pairs AS (SELECT q.query_id, c.*, list_cosine_similarity(c.embedding::DOUBLE[], q.qe::DOUBLE[]) AS s FROM chunk_lake c, q)"""
 PROMPTED = f"""{V}, scored AS (SELECT *, list_cosine_similarity(embedding::DOUBLE[], {PROMPT_SQL}) AS s FROM chunk_lake)"""
 
@@ -289,7 +284,7 @@ SELECT request_id, CASE WHEN coalesce(question, '') = '' THEN 'question must not
 SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS rank FROM pairs) WHERE rank <= 10""",
     "retrieval_eval": f"""{PAIRS}, hits AS (SELECT query_id, chunk_id FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM pairs) WHERE r <= 10),
-truth AS (SELECT q.query_id, c.chunk_id FROM q JOIN chunk_lake own ON CAST(substr(own.chunk_id, 2, 6) AS BIGINT) = q.query_id
+truth AS (SELECT q.query_id, c.chunk_id FROM q JOIN chunk_lake own ON CAST(substr(own.chunk_id, 2, 9) AS BIGINT) = q.query_id
   JOIN chunk_lake c ON c.domain = own.domain AND c.form_type = own.form_type),
 n AS (SELECT q.query_id, (SELECT count(*) FROM hits h WHERE h.query_id = q.query_id) AS retrieved,
   (SELECT count(*) FROM truth t WHERE t.query_id = q.query_id) AS relevant,

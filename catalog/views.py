@@ -9,22 +9,23 @@ TABLES = (
     " conversations"
 ).split()
 
+# One chunk per document; vectors are dealt out in turn, so none is used much more often than another.
 CHUNK_LAKE = """
-SELECT concat('c', lpad(CAST(e.vec_id AS STRING), 6, '0')) AS chunk_id,
+SELECT concat('c', lpad(CAST(d.doc_id AS STRING), 9, '0')) AS chunk_id,
        concat('d', CAST(d.doc_id AS STRING)) AS doc_id,
        CASE e.label % 3 WHEN 0 THEN 'finance' WHEN 1 THEN 'literature' ELSE 'general' END AS domain,
        concat(d.source, '_', CAST(d.doc_id AS STRING), '.htm') AS source_filename,
-       CASE e.vec_id % 5 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '8-K' WHEN 3 THEN 'BOOK' ELSE 'MISC' END
+       CASE d.doc_id % 5 WHEN 0 THEN '10-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '8-K' WHEN 3 THEN 'BOOK' ELSE 'MISC' END
          AS form_type,
-       CASE WHEN e.vec_id % 50 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(e.vec_id * 7 % 366 AS INT) END AS filing_date,
-       CASE e.vec_id % 3 WHEN 0 THEN 'General' WHEN 1 THEN 'Item 1A - Risk Factors' ELSE 'Chapter 1 - Loomings' END
+       CASE WHEN d.doc_id % 50 = 0 THEN NULL ELSE DATE '2024-01-01' + CAST(d.doc_id * 7 % 366 AS INT) END AS filing_date,
+       CASE d.doc_id % 3 WHEN 0 THEN 'General' WHEN 1 THEN 'Item 1A - Risk Factors' ELSE 'Chapter 1 - Loomings' END
          AS section,
-       e.vec_id % 4 = 0 AS is_table,
+       d.doc_id % 4 = 0 AS is_table,
        d.text AS text,
        e.embedding AS embedding,
-       CASE WHEN e.vec_id % 25 = 0 THEN 'not json'
-            ELSE concat('{"page_number": ', CAST(e.vec_id % 90 + 1 AS STRING), '}') END AS metadata_json
-FROM embeddings e JOIN documents d ON d.doc_id = e.vec_id % 200
+       CASE WHEN d.doc_id % 25 = 0 THEN 'not json'
+            ELSE concat('{"page_number": ', CAST(d.doc_id % 90 + 1 AS STRING), '}') END AS metadata_json
+FROM (SELECT *, doc_id % (SELECT count(*) FROM embeddings) AS pick FROM documents) d JOIN embeddings e ON e.vec_id = d.pick
 """
 
 RAW_TEXT = """

@@ -146,14 +146,16 @@ def requeue(items: DataFrame, names: DataFrame) -> DataFrame:
 def unique_dest(moves: DataFrame, existing: DataFrame) -> DataFrame:
     """Destination names without collisions for moves (path, filename) into a folder listing (filename).
 
-    The first path of a name keeps it when it is free; any other gets a suffix from its path's hash. A per-name
+    The first path of a name keeps it when it is free; any other gets a suffix from the hash of its path, and of its
+    content and attempt where the moves tell them, so a path that collides again gets another name. A per-name
     aggregate replaces numbering, so one very common name is no hot group.
     """
     first = moves.groupBy("filename").agg(F.min("path").alias("_first"))
     taken = existing.select("filename").distinct().withColumn("_taken", F.lit(True))
     names = first.join(taken, "filename", "left")
     keep = F.col("_taken").isNull() & (F.col("path") == F.col("_first"))
-    tag = F.substring(F.sha2("path", 256), 1, 16)
+    told = [F.col(c).cast("string") for c in ("path", "content_id", "attempt") if c in moves.columns]
+    tag = F.substring(F.sha2(F.concat_ws("\n", *told), 256), 1, 16)
     name = F.col("filename")
     return (
         moves.join(names, "filename")

@@ -9,6 +9,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,11 +106,15 @@ def search_stored(
     if not len(query_vector):
         return search(lake, query_vector)
     place = {"_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")}
-    rows = metadata_filter(lake.withColumns(place), domain, form_type, start_date, end_date, is_table_only)
+    try:
+        placed = lake.withColumns(place)
+    except AnalysisException:  # a missing lake has no files to point into
+        return search(lake.limit(0), [])
+    rows = metadata_filter(placed, domain, form_type, start_date, end_date, is_table_only)
     keys = [*PARTITIONS, *place]
     scored = with_cosine(rows.select(*keys, "chunk_id", "embedding"), query_vector, lenient).drop("embedding")
     best = threshold(top_k(scored, k), similarity_threshold).drop("chunk_id")
-    texts = lake.withColumns(place).select(*HIT_COLUMNS, *keys)
+    texts = placed.select(*HIT_COLUMNS, *keys)
     return (
         texts.join(best, keys)
         .select(*HIT_COLUMNS, "similarity_score")

@@ -14,14 +14,19 @@ class UnknownTicker(LookupError):
 
 
 def ticker_index(bodies: DataFrame, body: str = "body") -> DataFrame:
-    """JSON objects of {cik_str, ticker, title} to rows: upper-case ticker, 10-digit CIK, title."""
-    entries = bodies.select(F.explode(F.from_json(body, TICKERS)).alias("_key", "entry"))
+    """JSON objects of {cik_str, ticker, title} to rows: upper-case ticker, 10-digit CIK, title.
+
+    A ticker listed more than once keeps its last entry, by place in its object."""
+    entries = bodies.select(F.posexplode(F.from_json(body, TICKERS)).alias("_at", "_key", "entry"))
     cik = F.coalesce("entry.cik_str", F.lit(""))
-    return entries.select(
+    rows = entries.select(
+        "_at",
         F.upper(strip(F.coalesce("entry.ticker", F.lit("")))).alias("ticker"),
         F.when(F.length(cik) < 10, F.lpad(cik, 10, "0")).otherwise(cik).alias("cik"),
         F.coalesce("entry.title", F.lit("")).alias("title"),
     )
+    last = rows.groupBy("ticker").agg(F.max(F.struct("_at", "cik", "title")).alias("last"))
+    return last.select("ticker", "last.cik", "last.title")
 
 
 def lookup_tickers(requests: DataFrame, index: DataFrame) -> DataFrame:
@@ -40,7 +45,7 @@ def require_ticker(ticker: str, index: DataFrame) -> str:
     name = ticker.strip().upper()
     found = index.where(F.col("ticker") == name).select("cik").first()
     if found is None:
-        raise UnknownTicker(f"Ticker '{name}' not found in SEC company index.")
+        raise UnknownTicker(f"Ticker '{name}' is not listed in the company index.")
     return found["cik"]
 
 

@@ -73,8 +73,7 @@ def embedding_check(chunks: DataFrame) -> None:
     found = missing_embeddings(chunks).first()
     if found["missing"]:
         raise MissingEmbeddings(
-            f"Cannot write to Parquet lakehouse: {found['missing']} chunks are missing vector embeddings "
-            f"(e.g. {found['examples']})."
+            f"lake write refused: {found['missing']} chunks are missing vector embeddings, {found['examples']} among them"
         )
 
 
@@ -109,14 +108,17 @@ def date_bounds(start: date | None, end: date | None) -> Column | None:
 
 
 def lake_files(spark: SparkSession, root: str) -> DataFrame:
-    """Lake files with their path values, size and modification time; file contents are not read."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "*.parquet")
-        .load(root)
-        .select("path", "length", "modificationTime")
-    )
+    """Lake files with their path values, size and modification time; file contents are not read. A missing lake has none."""
+    if path_exists(spark, root):
+        files = (
+            spark.read.format("binaryFile")
+            .option("recursiveFileLookup", "true")
+            .option("pathGlobFilter", "*.parquet")
+            .load(root)
+            .select("path", "length", "modificationTime")
+        )
+    else:
+        files = spark.createDataFrame([], "path string, length bigint, modificationTime timestamp")
 
     def segment(name: str) -> Column:
         value = F.regexp_extract("relative_path", rf"(?:^|/){name}=([^/]*)/", 1)

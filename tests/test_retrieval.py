@@ -188,3 +188,41 @@ def test_retrieval_eval(spark):
     truth = spark.createDataFrame([(1, "a"), (1, "c"), (1, "d"), (3, "a")], "query_id int, chunk_id string")
     rows = {r["query_id"]: (r["precision"], round(r["recall"], 4), r["passed"]) for r in retrieval_eval(hits, truth, 0.5, 0.3).collect()}
     assert rows == {1: (0.5, 0.3333, True), 2: (0.0, 0.0, False), 3: (0.0, 0.0, False)}
+
+
+def test_a_missing_lake_gives_no_rows(spark, tmp_path):
+    from quire.operators.retrieval import search_stored
+    from quire.operators.telemetry import lake_kpis, lake_stats
+    from quire.sources.lake import lake_files, lake_scan
+
+    root = str(tmp_path / "none")
+    assert search_stored(lake_scan(spark, root), [1.0, 0.0]).count() == 0
+    assert lake_files(spark, root).count() == 0
+    assert lake_stats(lake_files(spark, root)).first()["total_parquet_files"] == 0
+    assert lake_kpis(lake_files(spark, root)).first()["total_bytes"] == 0
+
+
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT TRANSFORM(1) USING 'echo x' AS (x string)",
+        "SELECT * FROM (SELECT TRANSFORM(1) USING /* c */ \"echo x\" AS (x string)) t",
+        "WITH c AS (SELECT reflect('java.lang.System', 'currentTimeMillis') AS t) SELECT * FROM c",
+        "SELECT `java_method`('java.lang.System', 'currentTimeMillis')",
+        "SELECT try_reflect('java.lang.System', 'exit', 1)",
+        "MAP 1 USING 'cat' AS a FROM t",
+    ],
+)
+def test_console_runs_no_programs(spark, statement):
+    from quire.plans.console import read_only_sql
+
+    with pytest.raises(PermissionError):
+        read_only_sql(spark, statement)
+
+
+def test_console_leaves_views_alone(spark):
+    from quire.plans.console import read_only_sql
+
+    spark.range(3).createOrReplaceTempView("mine")
+    out = read_only_sql(spark, "SELECT count(*) AS n FROM mine JOIN other USING (id)", tables={"mine": spark.range(5), "other": spark.range(5)})
+    assert out.first()["n"] == 5 and spark.table("mine").count() == 3 and not spark.catalog.tableExists("other")
