@@ -289,8 +289,9 @@ truth AS (SELECT q.query_id, c.chunk_id FROM q JOIN chunk_lake own ON CAST(subst
 n AS (SELECT q.query_id, (SELECT count(*) FROM hits h WHERE h.query_id = q.query_id) AS retrieved,
   (SELECT count(*) FROM truth t WHERE t.query_id = q.query_id) AS relevant,
   (SELECT count(*) FROM hits h JOIN truth t USING (query_id, chunk_id) WHERE h.query_id = q.query_id) AS matched FROM q)
-SELECT *, round(matched / retrieved, 6) AS precision, round(matched / relevant, 6) AS recall,
-  matched / retrieved >= 0.1 AND matched / relevant >= 0.01 AS passed FROM n""",
+SELECT *, round(CASE WHEN retrieved = 0 THEN 0 ELSE matched / retrieved END, 6) AS precision,
+  round(CASE WHEN relevant = 0 THEN 0 ELSE matched / relevant END, 6) AS recall,
+  CASE WHEN retrieved = 0 OR relevant = 0 THEN false ELSE matched / retrieved >= 0.1 AND matched / relevant >= 0.01 END AS passed FROM n""",
     "ask": f"""{PROMPTED} SELECT chunk_id, source_filename, round(s, 6) AS similarity_score FROM scored ORDER BY s DESC, chunk_id LIMIT 10""",
     "answer": f"""{PROMPTED}, kept AS (SELECT list(struct_pack(source_filename, section, s, text) ORDER BY s DESC, chunk_id) AS lines
   FROM (SELECT * FROM scored WHERE domain = 'finance' ORDER BY s DESC, chunk_id LIMIT 5) WHERE s >= 0),
