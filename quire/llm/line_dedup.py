@@ -131,7 +131,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     probe = F.array_distinct(F.expr(f"filter(transform(lines, (x, i) -> IF(words[i] >= {min_words}, x, NULL)), x -> x IS NOT NULL)"))
     probes = held.select("doc", F.explode(probe).alias("line"))
     firsts = probes.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    pairs = probes.join(firsts.select("line", "first"), "line").where("doc > first").select("doc", "first").distinct()
+    firsts = stored(firsts.select("line", "first"), "first-documents")  # read anew, so a common line's side can be split
+    pairs = probes.join(firsts, "line").where("doc > first").select("doc", "first").distinct()
     once = held.dropDuplicates(["doc"])
     work = pairs.join(once, "doc").join(once.select(F.col("doc").alias("first"), F.col("lines").alias("earlier")), "first")
 
