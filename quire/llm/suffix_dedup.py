@@ -343,6 +343,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
     segments = stored(segments, "segments")
     shared = segments.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor")
+    shared = stored(shared, "shared-anchors")  # read anew, so a common anchor's side of the join can be split
     segments = stored(segments.join(shared, "anchor"), "shared-segments")
     contents = segments.groupBy("anchor", "content").agg(
         F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("key", "first", "span", "off")]
