@@ -127,14 +127,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.struct(F.col("id"), F.xxhash64("text").alias("h")).alias("doc"),
         F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: word_count(x).cast("int")).alias("words"),
     ).where("doc.id IS NOT NULL")
-    held = stored(held, "line-hashes")
+    held = stored(held.dropDuplicates(["doc"]), "line-hashes")  # joined below as read, so a common document's side can be split
     probe = F.array_distinct(F.expr(f"filter(transform(lines, (x, i) -> IF(words[i] >= {min_words}, x, NULL)), x -> x IS NOT NULL)"))
     probes = held.select("doc", F.explode(probe).alias("line"))
     firsts = probes.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     firsts = stored(firsts.select("line", "first"), "first-documents")  # read anew, so a common line's side can be split
     pairs = probes.join(firsts, "line").where("doc > first").select("doc", "first").distinct()
-    once = held.dropDuplicates(["doc"])
-    work = pairs.join(once, "doc").join(once.select(F.col("doc").alias("first"), F.col("lines").alias("earlier")), "first")
+    work = pairs.join(held, "doc").join(held.select(F.col("doc").alias("first"), F.col("lines").alias("earlier")), "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
