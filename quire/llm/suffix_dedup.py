@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,7 @@ from quire.llm.common import POWERS, mixed, stored
 
 LENGTH = 400
 SHARD = 6 << 20  # bytes of text sorted at once; a larger group of its own is one shard
+COMMON = 4096  # different pieces of a group that is sorted; a group of more is divided
 HELD = 128 << 20  # bytes of queued suffixes in memory; more go to disk
 
 
@@ -322,7 +324,46 @@ def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
+def _parted(pieces: DataFrame, parts: int, length: int) -> DataFrame:
+    """Pieces cut into parts by where a string starts against the anchor, and grouped by all bytes that every string of
+    a part covers. A piece (group, key, at, low, high, times, a, b, piece) holds the bytes of the strings that start
+    from low to high; they start from a to b against the anchor at `at`."""
+    part = F.explode(F.expr(
+        f"transform(sequence(0, {parts - 1}), i -> struct(CAST(a + (b - a + 1) * i DIV {parts} AS INT) AS a,"
+        f" CAST(a + (b - a + 1) * (i + 1) DIV {parts} - 1 AS INT) AS b))"
+    ))
+    cut = pieces.withColumn("r", part).withColumns({"start": F.expr("greatest(low, at + r.a)"), "stop": F.expr("least(high, at + r.b)")})
+    core = F.expr(f"substring(piece, CAST(at + r.b - low AS INT) + 1, {length} - r.b + r.a)")
+    own = F.expr(f"substring(piece, CAST(start - low AS INT) + 1, CAST(stop - start AS INT) + {length})")
+    return cut.where("start <= stop").select(
+        F.xxhash64("group", "r.a", core).alias("group"), "key", "at", F.col("start").alias("low"), F.col("stop").alias("high"),
+        "times", "r.a", "r.b", own.alias("piece"),
+    )
+
+
+def _divided(pieces: DataFrame, length: int, common: int) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """One division of the pieces of frequent anchors: those of groups small enough to be sorted, the runs (key, low,
+    high) of starts that repeat because whole parts are equal, and the pieces to be divided again, or None.
+
+    Equal parts of one group become one with their number. Of a passage that many documents have, a part that lies
+    inside it becomes one row, one that reaches beyond it is alone in its group, and only the part with the passage's
+    edge goes on, until it is a single start: groups of any size end without being gathered.
+    """
+    named = _parted(pieces, 4, length).withColumn("content", F.xxhash64(F.expr("low - at"), F.expr("high - at"), "piece"))
+    named = stored(named, "parts")
+    rest = F.struct(*[c for c in named.columns if c not in ("group", "content", "times")])
+    merged = named.groupBy("group", "content").agg(F.count("*").alias("n"), F.sum("times").alias("times"), F.first(rest).alias("x"))
+    merged = stored(merged.select("group", "content", "n", "times", "x.*"), "merged-parts")
+    equal = named.join(merged.where("n > 1").select("group", "content"), ["group", "content"]).select("key", "low", "high")
+    kinds = stored(merged.groupBy("group").agg(F.count("*").alias("kinds")).where("kinds > 1"), "part-kinds")
+    few = merged.join(kinds.where(f"kinds <= {common}"), "group")
+    many = kinds.where(f"kinds > {common}")
+    again = None if many.isEmpty() else merged.join(many, "group").select(*pieces.columns)
+    return few, equal, again
+
+
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                 common: int = COMMON) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept) for every document: its UTF-8 bytes without each byte covered by a string
     of `length` bytes that also starts anywhere else, in the same document or another. `length` is a multiple of 8.
 
@@ -330,11 +371,11 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     equal anchors. Runs whose anchor is met once hold nothing repeated. Of the rest, runs of equal bytes are one piece
     with a count: all their starts repeat. Pieces that differ under one anchor are the edges of repeats: they are cut in
     two by where the anchor stands and gathered by three quarters of a string, and only these groups are sorted, as
-    shards, by induced sorting; neighbours in that order with a long enough common prefix repeat. A frequent passage
-    costs a row each time it occurs and no pairs. All strings are judged on the input. Null texts count as empty, and
+    shards, by induced sorting; neighbours in that order with a long enough common prefix repeat. An anchor with more
+    than `common` different pieces is divided further first, see `_divided`, so that no group grows with the corpus. A
+    frequent passage costs some rows each time it occurs and no pairs. All strings are judged on the input. Null texts count as empty, and
     rows of equal id and text as different places.
     """
-    quarter = length // 4
     half = length // 2
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
@@ -352,20 +393,29 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies = segments.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"])
     whole = copies.select("key", F.col("first").alias("low"), (F.col("first") + F.col("span")).alias("high"))
 
-    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1").select("anchor")
-    edges = contents.join(kinds, "anchor").join(rows.select("key", F.col("text").cast("binary").alias("raw")), "key")
-    edges = edges.withColumns({"last": F.col("first") + F.col("span"), "at": F.col("first") + F.col("off")})
-    side = F.explode(F.expr(
-        f"array(struct('R' AS side, greatest(first, at - {quarter}) AS low, last AS high),"
-        f" struct('L' AS side, first AS low, least(last, at - {quarter} - 1) AS high))"
-    )).alias("s")
-    halves = edges.select("anchor", "key", "times", "at", "raw", side).where("s.low <= s.high")
-    near = F.expr(f"substring(raw, CAST(IF(s.side = 'R', at + {half}, at - {quarter}) AS INT) + 1, {quarter})")
-    piece = F.expr(f"substring(raw, CAST(s.low AS INT) + 1, CAST(s.high - s.low AS INT) + {length})")
-    pieces = halves.select(
-        F.xxhash64("anchor", "s.side", near).alias("group"), "key", F.col("s.low").alias("low"), "times", piece.alias("piece")
-    ).repartition("group").sortWithinPartitions("group")
-    partial = pieces.mapInArrow(lambda b: _sort_shards(b, length), "key long, low long, high long")
+    kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
+    kinds = stored(kinds, "kinds")
+    held = rows.select("key", F.col("text").cast("binary").alias("raw"))
+
+    def edges(anchors: DataFrame) -> DataFrame:
+        """The differing runs of some anchors with their bytes, as pieces for `_parted`."""
+        runs = contents.join(anchors.select("anchor"), "anchor").join(held, "key")
+        return runs.select(
+            F.col("anchor").alias("group"), "key", F.expr("first + off AS at"), F.col("first").alias("low"),
+            F.expr("first + span AS high"), "times", F.lit(half - length).alias("a"), F.lit(0).alias("b"),
+            F.expr(f"substring(raw, CAST(first AS INT) + 1, span + {length})").alias("piece"),
+        )
+
+    sortable = [_parted(edges(kinds.where(f"kinds <= {common}")), 2, length)]
+    frequent = kinds.where(f"kinds > {common}")
+    pieces = None if frequent.isEmpty() else edges(frequent)
+    while pieces is not None:
+        few, more, pieces = _divided(pieces, length, common)
+        sortable.append(few)
+        whole = whole.unionByName(more)
+    shards = reduce(DataFrame.unionByName, [x.select("group", "key", "low", "times", "piece") for x in sortable])
+    shards = shards.repartition("group").sortWithinPartitions("group")
+    partial = shards.mapInArrow(lambda b: _sort_shards(b, length), "key long, low long, high long")
 
     spans = whole.unionByName(partial).groupBy("key").agg(F.collect_set(F.struct("low", "high")).alias("spans"))
     out = rows.select("key", "id", F.col("text").cast("binary").alias("raw")).join(spans, "key", "left")

@@ -266,6 +266,23 @@ def test_suffix_dedup_of_planted_and_odd_rows(spark, odd, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+@pytest.mark.parametrize("length", [40, 400])
+def test_frequent_anchors_are_divided_without_loss(spark, length):
+    """Groups of more than two pieces are divided, so nearly every group is, down to single starts."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    passage = " ".join(word() for _ in range(110))
+    rows = []
+    for i in range(40):
+        low, high = rng.choice([(0, 660), (rng.randint(0, 40), 650), (30, rng.randint(420, 460)), (rng.randint(0, 200), 600)])
+        rows.append((i, word() + passage[low:high] + " ".join(word() for _ in range(rng.randint(0, 40)))))
+    rows += [(40, "ab" * 500), (41, passage * 2), (42, "c" * (length + 1)), (43, None), (44, rows[3][1])]
+    want = brute_removed([(t or "").encode() for _, t in rows], length)
+    out = suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), length=length, common=2)
+    for r in out.collect():
+        assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == want[r.doc_id]
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------
 
 
