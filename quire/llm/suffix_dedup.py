@@ -244,28 +244,50 @@ def _runs(keys: list, flags: list[np.ndarray], shifts: list[int]) -> list[tuple]
     return out
 
 
+SEGMENT = "key long, anchor long, content long, first long, span int, off int, times int"
+
+
 def _segments(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """The runs of starts of each text, by anchor and content. Equal runs of one text are one row with their number, and
+    their starts, which all repeat, come at once as rows without anchor: one for each stretch, so a text that repeats a
+    short pattern costs a few rows however long it is."""
     half = length // 2
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+    names = [x.split()[0] for x in SEGMENT.split(", ")]
+
+    def rows(parts: list[tuple]) -> pa.RecordBatch:
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64)] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c).cast(t) for c, t in zip(columns, types, strict=True)], names=names)
+
     for batch in batches:
         for at in range(0, len(batch), 256):
             part = batch.slice(at, 256)
-            keys, anchors, contents, firsts, spans, offs = [], [], [], [], [], []
+            found: list[tuple] = []
+            known: list[tuple] = []
             for key, text in zip(part.column(0).to_pylist(), part.column(1), strict=True):
                 raw = memoryview(text.as_buffer()) if text.is_valid else memoryview(b"")
                 first, last, anchor = anchored(np.frombuffer(raw, np.uint8), length)
-                keys += [key] * len(first)
-                for f, e, a in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True):
-                    anchors.append(xxhash.xxh3_64_intdigest(raw[a : a + half]))
-                    contents.append(xxhash.xxh3_64_intdigest(raw[f : e + length]))
-                firsts.append(first)
-                spans.append(last - first)
-                offs.append(anchor - first)
-            columns = [
-                pa.array(keys, pa.int64()), pa.array(np.array(anchors, np.uint64).view(np.int64)),
-                pa.array(np.array(contents, np.uint64).view(np.int64)), pa.array(np.concatenate(firsts).astype(np.int64)),
-                pa.array(np.concatenate(spans).astype(np.int32)), pa.array(np.concatenate(offs).astype(np.int32)),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "anchor", "content", "first", "span", "off"])
+                hashed = [
+                    (xxhash.xxh3_64_intdigest(raw[a : a + half]), xxhash.xxh3_64_intdigest(raw[f : e + length]))
+                    for f, e, a in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)
+                ]
+                anchors, contents = np.array(hashed, np.uint64).reshape(-1, 2).view(np.int64).T
+                _, own, kind, times = np.unique(contents, return_index=True, return_inverse=True, return_counts=True)
+                if len(own) < len(contents):
+                    again = times[kind] > 1
+                    low, high = first[again], last[again]
+                    cuts = np.flatnonzero(low[1:] != high[:-1] + 1) + 1
+                    low, high = low[np.append(0, cuts)], high[np.append(cuts - 1, len(high) - 1)]
+                    known.append((np.full(len(low), key), low, high - low))
+                keys = np.full(len(own), key, np.int64)
+                found.append((keys, anchors[own], contents[own], first[own], (last - first)[own], (anchor - first)[own], times))
+            yield rows(found)
+            if known:
+                keys, low, span = (np.concatenate(x) for x in zip(*known, strict=True))
+                none = pa.nulls(len(keys), pa.int64())
+                columns = [pa.array(keys), none, none, pa.array(low), pa.array(span).cast(pa.int32())]
+                columns += [pa.nulls(len(keys), pa.int32())] * 2
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
 def _sort_shards(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -379,19 +401,18 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     half = length // 2
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     rows = rows.withColumn("key", F.xxhash64("id", "text"))
-    segments = rows.select("key", "text").mapInArrow(
-        lambda b: _segments(b, length), "key long, anchor long, content long, first long, span int, off int"
-    )
-    segments = stored(segments, "segments")
+    segments = stored(rows.select("key", "text").mapInArrow(lambda b: _segments(b, length), SEGMENT), "segments")
+    known = segments.where("anchor IS NULL")
+    segments = segments.where("anchor IS NOT NULL")
     shared = segments.groupBy("anchor").agg(F.count("*").alias("met")).where("met > 1").select("anchor")
     shared = stored(shared, "shared-anchors")  # read anew, so a common anchor's side of the join can be split
     segments = stored(segments.join(shared, "anchor"), "shared-segments")
     contents = segments.groupBy("anchor", "content").agg(
-        F.count("*").alias("times"), *[F.first(c).alias(c) for c in ("key", "first", "span", "off")]
+        F.sum("times").alias("times"), *[F.first(c).alias(c) for c in ("key", "first", "span", "off")]
     )
     contents = stored(contents, "contents")
     copies = segments.join(contents.where("times > 1").select("anchor", "content"), ["anchor", "content"])
-    whole = copies.select("key", F.col("first").alias("low"), (F.col("first") + F.col("span")).alias("high"))
+    whole = copies.unionByName(known).select("key", F.col("first").alias("low"), (F.col("first") + F.col("span")).alias("high"))
 
     kinds = contents.groupBy("anchor").agg(F.count("*").alias("kinds")).where("kinds > 1")
     kinds = stored(kinds, "kinds")
