@@ -442,9 +442,9 @@ d AS (SELECT filename, octet_length(encode(filename)) + octet_length(encode(cont
 docs AS (SELECT filename, CASE WHEN n % 7 = 0 THEN '' WHEN n % 11 = 0 THEN ' ' || chr(10) || chr(10) || chr(9) || ' ' ELSE content END AS content FROM d),
 {ALL_STEPS}, having_els AS (SELECT DISTINCT filename FROM els),
 e AS (SELECT docs.filename, octet_length(encode(content)) AS file_size_bytes, CASE
-  WHEN content = '' THEN 'Document file is empty (0 bytes): ' || docs.filename
-  WHEN docs.filename LIKE '%.json' AND NOT json_valid(content) THEN 'Partitioning failed for ' || docs.filename || ': malformed JSON'
-  WHEN h.filename IS NULL THEN 'No parseable content extracted from: ' || docs.filename END AS error_message
+  WHEN content = '' THEN 'empty document, 0 bytes: ' || docs.filename
+  WHEN docs.filename LIKE '%.json' AND NOT json_valid(content) THEN 'malformed JSON: ' || docs.filename
+  WHEN h.filename IS NULL THEN 'no content found: ' || docs.filename END AS error_message
   FROM docs LEFT JOIN having_els h ON h.filename = docs.filename)
 SELECT *, CASE WHEN error_message IS NOT NULL THEN 'DocumentParsingError' END AS error_type FROM e""",
     "format_dispatch": f"""{with_views("raw_text", "raw_html", "raw_json")}, {ALL_DOCS}, {ALL_STEPS}

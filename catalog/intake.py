@@ -64,7 +64,9 @@ def filing_targets(spark, sf):
 
 
 def date_presets(spark, sf):
-    days = table(spark, sf, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
+    """Ranges as of order dates, moved to the present so that the fixed year has some."""
+    day = F.add_months(F.to_date("o_orderdate"), 27 * 12)
+    days = table(spark, sf, "orders").select("o_orderkey", day.alias("day"))
     return filings.with_presets(days, "day")
 
 
@@ -241,7 +243,7 @@ WHERE form = '10-Q' AND (filing_date LIKE '1997%' OR report_date LIKE '1997%'))
     "filing_targets": f"""{with_views('filings')} SELECT position, 'https://www.sec.gov/Archives/edgar/data/' || CAST(CAST(cik AS BIGINT) AS VARCHAR) || '/' ||
 replace(accession, '-', '') || '/' || primary_document AS document_url, {TARGET} AS target_filename FROM filings""",
     "date_presets": """SELECT o_orderkey, d AS day, d - 365 AS trailing_start, make_date(year(d), 1, 1) AS ytd_start, year(d) = 2024 AS fiscal_2024
-FROM (SELECT o_orderkey, CAST(o_orderdate AS DATE) AS d FROM orders)""",
+FROM (SELECT o_orderkey, CAST(CAST(o_orderdate AS DATE) + INTERVAL 27 YEAR AS DATE) AS d FROM orders)""",
     "queue_files": f"{with_views('queue')} SELECT status, count(*) AS files, CAST(sum(file_size_bytes) AS BIGINT) AS bytes FROM queue GROUP BY status",
     "queue_items": f"{ITEMS} SELECT * EXCLUDE (n) FROM items",
     "queue_filter": f"""{ITEMS} SELECT filename, status, form_type, ticker FROM items WHERE status = 'PROCESSED' AND
@@ -270,11 +272,11 @@ f AS (SELECT *, min(path) OVER (PARTITION BY filename) AS first FROM m)
 SELECT path, filename, CASE WHEN path = first AND filename NOT IN (SELECT source || doc_id || '.htm' FROM documents WHERE doc_id % 7 = 0)
   THEN filename ELSE regexp_replace(filename, '\\.htm$', '') || '_' || substr(sha256(path), 1, 16) || '.htm' END AS dest FROM f""",
     "dead_letter": f"""{with_views("raw_json")} SELECT filename AS source_filename, octet_length(encode(content)) AS file_size_bytes,
-'DocumentParsingError' AS error_type, 'Partitioning failed for ' || filename || ': malformed JSON' AS error_message
+'DocumentParsingError' AS error_type, 'malformed JSON: ' || filename AS error_message
 FROM raw_json WHERE NOT json_valid(content)""",
     "ingest_summary": f"""{CHUNKS} SELECT doc_id AS file_path, 'completed' AS status, count(*) AS chunk_count, CAST(sum(token_count) AS BIGINT) AS token_total,
 string_agg(DISTINCT 'part-' || (position % 2), ',' ORDER BY 'part-' || (position % 2)) AS parquet_paths, NULL AS error_message FROM chunks GROUP BY doc_id
-UNION ALL SELECT filename, 'failed', 0, 0, '', 'Partitioning failed for ' || filename || ': malformed JSON' FROM docs WHERE filename LIKE '%.json' AND NOT json_valid(content)""",
+UNION ALL SELECT filename, 'failed', 0, 0, '', 'malformed JSON: ' || filename FROM docs WHERE filename LIKE '%.json' AND NOT json_valid(content)""",
     "sidecar_records": f"""{with_views("raw_text")} SELECT filename || '.meta.json' AS sidecar_name,
 '{{"doc_id":"upload-' || substr(sha256(filename || ':' || substr(sha256(content), 1, 16)), 1, 12) || '","source_filename":"' || filename ||
 '","domain":"finance","form_type":"' || CASE WHEN length(content) % 3 = 0 THEN '10-K' ELSE 'MISC' END || '","filing_date":"2024-05-06"' ||

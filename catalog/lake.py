@@ -125,15 +125,15 @@ def streamed_intake(spark, sf):
 
 
 def pipeline_search(spark, sf):
-    """Documents to lake to search: each page's first chunk is found again by its own text with score 1."""
+    """Documents to lake to search: a chunk of every page, as a query, finds a chunk of the same text with score 1."""
     root = scratch_dir(spark, "lake") + "/lake"
     ingest.ingest(html_docs(spark, sf), root, ingest_date=TODAY)
     stored = lake_scan(spark, root)
-    probe = stored.orderBy("chunk_id").first()
-    hits = retrieval.search(stored, probe["embedding"], k=1)
-    return hits.select(
-        (F.col("chunk_id") == probe["chunk_id"]).alias("same"), F.round("similarity_score", 4).alias("similarity_score")
-    )
+    probes = stored.groupBy("source_filename").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
+    queries = probes.withColumn("query_id", F.xxhash64("source_filename"))
+    hits = retrieval.multi_query_search(stored, queries, k=1).select("query_id", "similarity_score")
+    found = queries.select("query_id", F.col("source_filename").alias("page")).join(hits, "query_id", "left")
+    return found.select("page", F.round("similarity_score", 4).alias("similarity_score"))
 
 
 QUERIES = {
@@ -190,7 +190,8 @@ SELECT DISTINCT path FROM file_observations WHERE path NOT IN (SELECT 'f' || use
     "stream_ingest": f"""{CHUNKS}, n AS (SELECT doc_id, count(*) AS chunk_count, CAST(sum(token_count) AS BIGINT) AS token_total FROM chunks GROUP BY doc_id)
 SELECT filename AS file_path, CASE WHEN n.doc_id IS NULL THEN 'failed' ELSE 'completed' END AS status,
   coalesce(chunk_count, 0) AS chunk_count, coalesce(token_total, 0) AS token_total,
-  CASE WHEN n.doc_id IS NULL THEN 'Partitioning failed for ' || filename || ': malformed JSON' END AS error_message
+  CASE WHEN n.doc_id IS NULL THEN 'malformed JSON: ' || filename END AS error_message
 FROM docs LEFT JOIN n ON n.doc_id = docs.filename""",
-    "pipeline_search": "SELECT true AS same, 1.0::DOUBLE AS similarity_score FROM (SELECT count(*) FROM pages)",
+    "pipeline_search": f"""{CHUNKS} SELECT DISTINCT doc_id AS page, 1.0::DOUBLE AS similarity_score FROM chunks
+WHERE doc_id IN (SELECT filename FROM raw_html)""",
 }

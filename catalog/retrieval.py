@@ -11,7 +11,7 @@ from catalog.views import TABLES, table, view, with_views
 from quire.functions.text import WHITESPACE
 from quire.functions.vectors import hash_vector
 from quire.operators import presentation, retrieval
-from quire.operators.evaluation import retrieval_eval
+from quire.operators.evaluation import evaluation_summary, retrieval_eval
 from quire.plans.ask import Request, answer, ask, request_error
 from quire.plans.console import read_only_sql
 
@@ -122,6 +122,12 @@ def evaluation(spark, sf):
     return result.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 
+def evaluation_gate(spark, sf):
+    """Means over the query set against the thresholds."""
+    row = evaluation_summary(evaluation(spark, sf), 0.1, 0.01)
+    return row.withColumns({c: F.round(c, 4) for c in ("mean_precision", "mean_recall")})
+
+
 def ask_lake(spark, sf):
     request = Request(PROMPT, domain=None, top_k=10, similarity_threshold=-1.0)
     return rounded(ask(lake(spark, sf), request, 64).select("chunk_id", "source_filename", "similarity_score"))
@@ -210,6 +216,7 @@ QUERIES = {
     "request_checks": request_checks,
     "multi_query_search": multi_query_search,
     "retrieval_eval": evaluation,
+    "evaluation_summary": evaluation_gate,
     "ask": ask_lake,
     "answer": answer_question,
 }
@@ -298,3 +305,5 @@ SELECT *, round(CASE WHEN retrieved = 0 THEN 0 ELSE matched / retrieved END, 6)
 named AS (SELECT *, {FIRSTS} AS firsts FROM kept)
 SELECT 0::BIGINT AS query_id, len(lines) AS hits, {digest_sql("lines")} AS answer FROM named""",
 }
+ORACLES["evaluation_summary"] = f"""SELECT count(*) AS queries, round(avg(precision), 4) AS mean_precision,
+round(avg(recall), 4) AS mean_recall, avg(precision) >= 0.1 AND avg(recall) >= 0.01 AS passed FROM ({ORACLES["retrieval_eval"]})"""

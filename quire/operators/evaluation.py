@@ -32,3 +32,15 @@ def retrieval_eval(
     )
     passed = (F.col("precision") >= least_precision) & (F.col("recall") >= least_recall)
     return ratios.withColumn("passed", passed)
+
+
+def evaluation_summary(ratios: DataFrame, least_precision: float = 0.5, least_recall: float = 0.5) -> DataFrame:
+    """One row for a query set's ``retrieval_eval``: queries, mean precision and recall, and whether both means reach
+    their thresholds. No queries do not pass."""
+    means = ratios.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.coalesce(F.avg("precision"), F.lit(0.0)).alias("mean_precision"),
+        F.coalesce(F.avg("recall"), F.lit(0.0)).alias("mean_recall"),
+    )
+    reached = (F.col("mean_precision") >= least_precision) & (F.col("mean_recall") >= least_recall)
+    return means.withColumn("passed", (F.col("queries") > 0) & reached)

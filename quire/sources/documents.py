@@ -12,19 +12,16 @@ from quire.schema import DEFAULT_PROFILE, DOCUMENT_SUFFIXES, SIDECAR, SIDECAR_SU
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
-SPLIT_BYTES = 128 * 1024 * 1024
+TASKS = "spark.quire.source.tasks"
 
 
 def spread(documents: DataFrame) -> DataFrame:
-    """Documents over all cores when the input is too small to be cut that far by itself.
+    """Documents over as many tasks as the session asks for under ``spark.quire.source.tasks``, else as the scan cuts them.
 
-    Parsing is bound by CPU and a small table may be one file, hence one task. The shuffle is taken only for inputs
-    that fit one scan split per core; larger ones are cut by the scan and stay where they are.
+    For a table that is one file of one row group, which no scan setting can cut; it costs a shuffle of the text.
     """
-    cores = documents.sparkSession.sparkContext.defaultParallelism
-    size = documents._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    small = int(str(size)) < cores * SPLIT_BYTES
-    return documents.repartition(cores) if small and len(documents.inputFiles()) < cores else documents
+    tasks = documents.sparkSession.conf.get(TASKS, None)
+    return documents.repartition(int(tasks)) if tasks else documents
 
 
 def is_candidate(name: Column) -> Column:

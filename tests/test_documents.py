@@ -114,13 +114,13 @@ def test_sections_cascade_in_arrays_and_in_rows(spark):
 def test_documents_with_errors(spark):
     files = [("a.txt", ""), ("b.json", "{"), ("c.txt", " \n\n "), ("d.txt", "fine"), ("e.json", '""')]
     rows = elements.with_errors(elements.with_elements(docs(spark, *files))).collect()
-    messages = {r["filename"]: (r["error_message"] or "").split(":")[0] for r in rows}
+    messages = {r["filename"]: r["error_message"] for r in rows}
     assert messages == {
-        "a.txt": "Document file is empty (0 bytes)",
-        "b.json": "Partitioning failed for b.json",
-        "c.txt": "No parseable content extracted from",
-        "d.txt": "",
-        "e.json": "No non-empty chunks could be constructed from",
+        "a.txt": "empty document, 0 bytes: a.txt",
+        "b.json": "malformed JSON: b.json",
+        "c.txt": "no content found: c.txt",
+        "d.txt": None,
+        "e.json": "no chunk with text: e.json",
     }
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.vectors import cosine
 from quire.operators import presentation, retrieval
-from quire.operators.evaluation import retrieval_eval
+from quire.operators.evaluation import evaluation_summary, retrieval_eval
 from quire.plans.ask import Request, answer, ask, request_error
 from quire.plans.console import read_only_sql
 from quire.sources.lake import lake_scan, write_lake
@@ -188,6 +188,11 @@ def test_retrieval_eval(spark):
     truth = spark.createDataFrame([(1, "a"), (1, "c"), (1, "d"), (3, "a")], "query_id int, chunk_id string")
     rows = {r["query_id"]: (r["precision"], round(r["recall"], 4), r["passed"]) for r in retrieval_eval(hits, truth, 0.5, 0.3).collect()}
     assert rows == {1: (0.5, 0.3333, True), 2: (0.0, 0.0, False), 3: (0.0, 0.0, False)}
+    ratios = retrieval_eval(hits, truth)
+    means = evaluation_summary(ratios, 0.1, 0.1).first()
+    assert (means["queries"], round(means["mean_precision"], 4), round(means["mean_recall"], 4), means["passed"]) == (3, 0.1667, 0.1111, True)
+    assert not evaluation_summary(ratios, 0.1, 0.2).first()["passed"]
+    assert tuple(evaluation_summary(ratios.limit(0), 0.0, 0.0).first()) == (0, 0.0, 0.0, False)
 
 
 def test_a_missing_lake_gives_no_rows(spark, tmp_path):
