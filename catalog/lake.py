@@ -131,7 +131,8 @@ def pipeline_search(spark, sf):
     stored = lake_scan(spark, root)
     probes = stored.groupBy("source_filename").agg(F.min_by("embedding", "chunk_id").alias("embedding"))
     queries = probes.withColumn("query_id", F.xxhash64("source_filename"))
-    hits = retrieval.multi_query_search(stored, queries, k=1).select("query_id", "similarity_score")
+    vectors = stored.select("chunk_id", "embedding")
+    hits = retrieval.multi_query_search(vectors, queries, k=1).select("query_id", "similarity_score")
     found = queries.select("query_id", F.col("source_filename").alias("page")).join(hits, "query_id", "left")
     return found.select("page", F.round("similarity_score", 4).alias("similarity_score"))
 

@@ -105,7 +105,7 @@ def prompt_search(spark, sf):
 
 
 def multi_query_search(spark, sf):
-    hits = retrieval.multi_query_search(lake(spark, sf), query_table(spark, sf), 10)
+    hits = retrieval.multi_query_search(lake(spark, sf).select("chunk_id", "embedding"), query_table(spark, sf), 10)
     return rounded(hits.select("query_id", F.col("rank").cast("bigint").alias("rank"), "chunk_id", "similarity_score"))
 
 
@@ -113,7 +113,7 @@ def evaluation(spark, sf):
     """Chunks of the query's own domain and form are its truth set."""
     chunks = lake(spark, sf)
     queries = query_table(spark, sf)
-    hits = retrieval.multi_query_search(chunks, queries, 10)
+    hits = retrieval.multi_query_search(chunks.select("chunk_id", "embedding"), queries, 10)
     # A query's own row names its domain and form: an equi-join, one row per query on the left.
     own = chunks.select(F.substring("chunk_id", 2, 9).cast("bigint").alias("query_id"), "domain", "form_type")
     asked = own.join(queries.select("query_id"), "query_id", "left_semi")

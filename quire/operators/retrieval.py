@@ -5,16 +5,16 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from datetime import date
 from functools import reduce
-from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import truncate
-from quire.functions.vectors import cosine_scores, cosine_to, rows_matrix
+from quire.functions.vectors import cosine_scores, cosine_to
 from quire.schema import PARTITIONS
 from quire.sources.lake import date_bounds
 
@@ -150,67 +150,123 @@ def prompt_search(lake: DataFrame, prompt_vector: Sequence[float], k: int = 10)
     )
 
 
-QUERY_BLOCK = 1024
-
-
-def _blocks(rows: Iterator, size: int) -> Iterator[list]:
-    while block := list(islice(rows, size)):
-        yield block
-
-
-def _block_hits(queries: list, k: int, lenient: bool):
-    """Arrow function (embedding, chunk_id): the queries of the block for which the row is among its batch's best k.
-
-    Everything beyond the batch's k best is out of the final answer too, so most rows leave Python empty-handed.
-    """
-    ids = [q[0] for q in queries]
-    matrix = np.asarray([q[1] for q in queries], dtype=np.float64)
-
-    @F.arrow_udf("array<struct<query_id:bigint,similarity_score:double>>")
-    def best(vectors: pa.Array, keys: pa.Array) -> pa.Array:
-        usable, rows = rows_matrix(vectors, matrix.shape[1], lenient)
-        places = np.flatnonzero(usable)
-        names = np.asarray(keys.to_pylist(), dtype=object)[places]
-        hits: list[list | None] = [None] * len(vectors)
-        scores = cosine_scores(rows, matrix)
-        for column, query_id in enumerate(ids):
-            score = scores[:, column]
-            # NaN ranks first, as it does in the engine's descending order.
-            rank = np.where(np.isnan(score), np.inf, score)
-            chosen = range(len(rank))
-            if len(rank) > k:
-                least = np.partition(rank, len(rank) - k)[len(rank) - k]
-                chosen = np.flatnonzero(rank >= least)
-            for i in sorted(chosen, key=lambda r: (-rank[r], names[r]))[:k]:
-                hit = {"query_id": query_id, "similarity_score": float(score[i])}
-                hits[places[i]] = [*(hits[places[i]] or []), hit]
-        return pa.array(hits, pa.list_(pa.struct([("query_id", pa.int64()), ("similarity_score", pa.float64())])))
-
-    return best.asNondeterministic()  # keeps the null test above it from running the function twice
+QUERY_BLOCK = 1024  # queries scored at once
+TILE = 1024  # chunks scored at once
+HELD = 64  # blocks of queries whose best hits a task keeps in memory
+
+
+def _packed(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """(dim, keys, marks, vectors): up to so many vectors of one length a row, as bytes. Null vectors are left out."""
+    kind, element = dict(rows.dtypes)[key], "<f4" if dict(rows.dtypes)["embedding"] == "array<float>" else "<f8"
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths = pc.fill_null(pc.list_value_length(batch.column(2)), -1).to_numpy(zero_copy_only=False)
+            for dim in np.unique(lengths[lengths >= 0]).tolist():
+                own = np.flatnonzero(lengths == dim)
+                for at in range(0, len(own), size):
+                    keys, marks, vectors = batch.take(pa.array(own[at : at + size])).columns
+                    values = vectors.flatten().to_numpy(zero_copy_only=False).astype(element)
+                    yield pa.RecordBatch.from_pydict(
+                        {
+                            "dim": pa.array([dim], pa.int32()),
+                            "keys": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), keys),
+                            "marks": pa.ListArray.from_arrays(pa.array([0, len(keys)], pa.int32()), marks),
+                            "vectors": pa.array([values.tobytes()]),
+                        }
+                    )
+
+    marked = rows.select(key, F.xxhash64("embedding").alias("mark"), "embedding")
+    packed = marked.mapInArrow(pack, f"dim int, keys array<{kind}>, marks array<bigint>, vectors binary")
+    return packed.withColumn("element", F.lit(element))
+
+
+class _Best:
+    """The best k hits of every query of one block, over the tiles seen so far: score descending, then chunk_id."""
+
+    def __init__(self, queries: pa.Array, k: int) -> None:
+        self.queries, self.k = queries, k
+        self.query, self.score = np.zeros(0, np.int64), np.zeros(0)
+        self.key, self.mark = np.zeros(0, object), np.zeros(0, np.int64)
+
+    def add(self, scores: np.ndarray, keys: np.ndarray, marks: np.ndarray) -> None:
+        rank = np.where(np.isnan(scores), np.inf, scores)  # NaN ranks first, as in the engine's descending order
+        if len(rank) > self.k:
+            row, query = np.nonzero(rank >= np.partition(rank, len(rank) - self.k, axis=0)[len(rank) - self.k])
+        else:
+            row, query = (x.ravel() for x in np.indices(rank.shape))
+        query, score = np.concatenate([self.query, query]), np.concatenate([self.score, scores[row, query]])
+        key, mark = np.concatenate([self.key, keys[row]]), np.concatenate([self.mark, marks[row]])
+        by_name = np.unique(key, return_inverse=True)[1]
+        order = np.lexsort((by_name, -np.where(np.isnan(score), np.inf, score), query))
+        place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+        kept = order[place < self.k]
+        self.query, self.score, self.key, self.mark = query[kept], score[kept], key[kept], mark[kept]
+
+    def rows(self) -> pa.RecordBatch:
+        columns = [self.queries.take(pa.array(self.query)), pa.array(self.key, pa.string()), pa.array(self.mark), pa.array(self.score)]
+        return pa.RecordBatch.from_arrays(columns, names=["query_id", "chunk_id", "mark", "similarity_score"])
+
+
+def _tile_hits(k: int, lenient: bool):
+    """Function of met pairs of a query block and a tile of chunks: each block's best hits, held while tiles follow."""
+
+    def vectors(row: dict, side: str) -> np.ndarray:
+        values = np.frombuffer(row[f"{side}_vectors"].as_buffer(), row[f"{side}_element"].as_py())
+        return values.astype(np.float64).reshape(len(row[f"{side}_keys"].values), row[f"{side}_dim"].as_py())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, _Best] = {}
+        for batch in batches:
+            for values in zip(*batch.columns):
+                row = dict(zip(batch.schema.names, values))
+                if row["q_dim"] != row["t_dim"]:
+                    if lenient:
+                        continue
+                    raise ValueError(f"stored vectors must have {row['q_dim'].as_py()} values")
+                name = row["name"].as_py()
+                if name not in held:
+                    if len(held) == HELD:
+                        yield held.pop(next(iter(held))).rows()
+                    held[name] = _Best(row["q_keys"].values, k)
+                keys = np.array(row["t_keys"].values.to_pylist(), dtype=object)
+                marks = row["t_marks"].values.to_numpy(zero_copy_only=False)
+                held[name].add(cosine_scores(vectors(row, "t"), vectors(row, "q")), keys, marks)
+        yield from (best.rows() for best in held.values())
+
+    return run
 
 
 def multi_query_search(
     lake: DataFrame, queries: DataFrame, k: int = 5, lenient: bool = False, block: int = QUERY_BLOCK
 ) -> DataFrame:
-    """Top k per query for a table of queries (query_id, embedding).
+    """Top k per query for a table of queries (query_id, embedding); query_id is unique, null vectors find nothing.
 
-    Queries go out in blocks of bounded size, one scan of the lake per block. Each batch keeps k rows per query, and
-    the rank limit prunes again before the only shuffle, so pairs of queries and chunks are never materialized.
+    Both sides are packed into rows of bounded size, and every block of queries meets every tile of chunks by an equi-join
+    on slots, whatever the number of queries: one scan of the vectors, nothing through the driver. A task keeps k hits
+    per query while it works through its tiles. The other columns are read for the winners only, found again by
+    chunk_id and a hash of the vector; a lake given with chunk_id and embedding alone needs no second look.
     """
+    spark = lake.sparkSession
     columns = [c for c in HIT_COLUMNS if c in lake.columns]
+    slots = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tiles = _packed(lake.select("chunk_id", "embedding"), "chunk_id", TILE)
+    tiles = tiles.withColumn("slot", F.pmod(F.xxhash64("keys"), F.lit(slots)))
+    asked = _packed(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding"), "query_id", block)
+    asked = asked.withColumn("name", F.xxhash64("keys", "vectors"))
+    asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
+    parts = ("dim", "keys", "marks", "vectors", "element")
+    met = asked.select("slot", "name", *[F.col(c).alias(f"q_{c}") for c in parts]).join(
+        tiles.select("slot", *[F.col(c).alias(f"t_{c}") for c in parts]), "slot"
+    )
+    hits = met.drop("slot", "q_marks").mapInArrow(
+        _tile_hits(k, lenient), "query_id bigint, chunk_id string, mark bigint, similarity_score double"
+    )
     ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), "chunk_id")
-
-    def one(rows: list) -> DataFrame:
-        return (
-            lake.withColumn("_hits", _block_hits(rows, k, lenient)("embedding", "chunk_id"))
-            .where(F.col("_hits").isNotNull())
-            .select(*columns, F.inline("_hits"))
-        )
-
-    source = queries.select(F.col("query_id").cast("bigint"), "embedding").toLocalIterator()
-    found = [one(rows) for rows in _blocks(source, block)]
-    if not found:
-        empty = lake.select(*columns, F.lit(0).cast("bigint").alias("query_id"), F.lit(0.0).alias("similarity_score"))
-        return empty.withColumn("rank", F.lit(1)).limit(0)
-    hits = reduce(DataFrame.unionByName, found)
-    return hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    best = hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
+    if columns == ["chunk_id"]:
+        return best.select("chunk_id", "query_id", "similarity_score", "rank")
+    winners = best.select("query_id", "chunk_id", "mark", "similarity_score").distinct()
+    rows = lake.withColumn("mark", F.xxhash64("embedding")).select(*columns, "mark")
+    found = rows.join(winners, ["chunk_id", "mark"]).select(*columns, "query_id", "similarity_score")
+    return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

@@ -49,7 +49,9 @@ def queue_sidecars(spark: SparkSession, incoming: str, processed: str, failed: s
 
 
 def error_records(spark: SparkSession, failed: str) -> DataFrame:
-    """Dead-letter files as (filename, error_type, error_message)."""
+    """Dead-letter files as (filename, error_type, error_message); none where the folder does not exist."""
+    if not path_exists(spark, failed):
+        return spark.createDataFrame([], "filename string, error_type string, error_message string")
     files = spark.read.format("binaryFile").option("pathGlobFilter", f"*{ERROR_SUFFIX}").load(failed)
     name = base_name(F.col("path"))
     record = F.from_json(decode_text(F.col("content")), "error_type string, error_message string")
