@@ -122,6 +122,22 @@ def test_many_queries_keep_exact_top_k_with_ties(spark):
             assert got[q] == sorted(score, key=lambda k: (-round(score[k], 9), k))[:7]
 
 
+def test_many_queries_over_odd_rows(spark):
+    schema = "chunk_id string, text string, embedding array<float>"
+    rows = [("a", "one", [1.0, 0.0]), ("a", "again", [1.0, 0.0]), ("a", "other", [0.0, 1.0]), ("z", "zero", [0.0, 0.0]), ("n", "none", None)]
+    lake = spark.createDataFrame(rows, schema)
+    queries = spark.createDataFrame([(1, [1.0, 0.0]), (2, None)], "query_id bigint, embedding array<double>")
+    hits = retrieval.multi_query_search(lake, queries, k=3).orderBy("rank").collect()
+    assert [(h.query_id, h.chunk_id, h["rank"]) for h in hits] == [(1, "z", 1), (1, "a", 2), (1, "a", 3)]
+    assert math.isnan(hits[0].similarity_score) and {h.text for h in hits[1:]} == {"one", "again"}
+    odd = lake.union(spark.createDataFrame([("w", "wide", [1.0] * 3)], schema))
+    assert "w" not in {h.chunk_id for h in retrieval.multi_query_search(odd, queries, k=9, lenient=True).collect()}
+    with pytest.raises(Exception, match="must have 2 values"):
+        retrieval.multi_query_search(odd, queries, k=9).collect()
+    assert retrieval.multi_query_search(lake, queries.limit(0)).count() == 0
+    assert retrieval.multi_query_search(lake.limit(0), queries).count() == 0
+
+
 def test_metadata_parsing(lake):
     parsed = lake.select("chunk_id", presentation.parse_metadata(F.col("metadata_json")).alias("m")).collect()
     assert {r["chunk_id"]: r["m"] for r in parsed} == {"c1": {"page_number": "4"}, "c2": {"raw": "not json"}, "c3": {}, "c4": {}}
