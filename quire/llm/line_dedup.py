@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quire.llm.common import stored
+from quire.llm.common import POWERS, mixed, stored
 from quire.llm.mixing import word_count
 
 MIN_WORDS = 3  # of a line that proposes a partner, and of a block that is deleted
@@ -76,9 +76,40 @@ def patience(a: list[int], b: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def runs_of(lines: np.ndarray, words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, end and hash of the shortest run of at least so many words from each line on, and of the shortest one up
+    to each line of fewer words. The runs inside a block of that many words cover it. A line alone has its own hash."""
+    sums = np.concatenate([[0], np.cumsum(words, dtype=np.int64)])
+    starts = np.arange(len(lines))
+    ends = np.maximum(np.searchsorted(sums, sums[:-1] + least), starts + 1)
+    last = np.flatnonzero(words < least) + 1
+    first = np.searchsorted(sums, sums[last] - least, "right") - 1
+    held, back = ends <= len(lines), first >= 0
+    starts, ends = np.concatenate([starts[held], first[back]]), np.concatenate([ends[held], last[back]])
+    own = lines.astype(np.int64).view(np.uint64)
+    up, down = POWERS.to(len(lines) + 1)
+    total = np.zeros(len(lines) + 1, np.uint64)
+    np.cumsum((own + np.uint64(1)) * up[:-1], out=total[1:])
+    several = mixed((total[ends] - total[starts]) * down[starts])
+    return starts, ends, np.where(ends - starts == 1, own[starts], several).view(np.int64)
+
+
+def _common_runs(earlier: list[int], later: list[int], words: list[int], least: int) -> list[int]:
+    """Positions of the later lines in runs of at least so many words that the earlier lines have anywhere."""
+    known = dict(zip(later, words, strict=True))
+    one = runs_of(np.array(earlier, np.int64), np.array([known.get(x, 0) for x in earlier], np.int64), least)[2]
+    starts, ends, two = runs_of(np.array(later, np.int64), np.array(words, np.int64), least)
+    both = np.isin(two, one)
+    inside = np.zeros(len(later) + 1, np.int64)
+    np.add.at(inside, starts[both], 1)
+    np.add.at(inside, ends[both], -1)
+    return np.flatnonzero(np.cumsum(inside)[:-1] > 0).tolist()
+
+
 def repeated_lines(earlier: list[int], later: list[int], words: list[int], least: int = MIN_WORDS) -> list[int]:
-    """Positions of the later document's lines in aligned blocks of at least so many words. What is left is aligned
-    again until nothing is found, so passages in another order are found as well."""
+    """Positions of the later document's lines in blocks of at least so many words that the earlier one has. What is
+    left is aligned again until nothing is found, so passages in another order are found as well; blocks that lines of
+    few words kept out of the alignment are then looked up by the hashes of their runs."""
     left, gone = list(range(len(later))), []
     while left:
         pairs = patience(earlier, [later[j] for j in left])
@@ -89,6 +120,8 @@ def repeated_lines(earlier: list[int], later: list[int], words: list[int], least
             else:
                 blocks.append([(i, j)])
         found = [left[j] for block in blocks if sum(words[left[j]] for _, j in block) >= least for _, j in block]
+        if not found and pairs:
+            found = [left[j] for j in _common_runs(earlier, [later[j] for j in left], [words[j] for j in left], least)]
         if not found:
             break
         gone += found

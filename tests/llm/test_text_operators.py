@@ -90,6 +90,29 @@ def test_patience_aligns_in_order_and_repeats_find_moved_blocks():
     assert line_dedup.repeated_lines([1, 2], [1, 2], [1, 2]) == [0, 1]
 
 
+def test_short_lines_that_cross_a_passage_do_not_keep_it():
+    blank, head, long = 0, 7, 9
+    words = {blank: 0, head: 1, long: 60, 4: 2, 5: 2}
+    for earlier, later, gone in [
+        ([long, blank], [blank, long], [1]), ([1, blank, long], [long, blank, 2], [0]), ([head, long], [long, head], [0]),
+        ([4, 5, blank, head], [head, blank, 4, 5], [2, 3]), ([4, 5, head, long, 4], [long, 4, 8, head, 5, 4], [0, 1]),
+    ]:
+        assert line_dedup.repeated_lines(earlier, later, [words.get(x, 1) for x in later]) == gone, (earlier, later)
+
+
+def test_no_common_block_of_enough_words_is_left():
+    rng = random.Random(8)
+    for _ in range(400):
+        words = [rng.choice([0, 1, 1, 2, 4]) for _ in range(7)]
+        earlier, later = ([rng.randrange(7) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        gone = set(line_dedup.repeated_lines(earlier, later, [words[x] for x in later]))
+        spans = {tuple(earlier[i:j]) for i in range(len(earlier)) for j in range(i + 1, len(earlier) + 1)}
+        kept = [x for j, x in enumerate(later) if j not in gone]
+        for i in range(len(kept)):
+            for j in range(i + 1, len(kept) + 1):
+                assert sum(words[x] for x in kept[i:j]) < 3 or tuple(kept[i:j]) not in spans, (earlier, later, words)
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     out = line_dedup.line_dedup(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"]
