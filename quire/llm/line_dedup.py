@@ -9,14 +9,24 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from quire.llm.common import POWERS, mixed, stored
 from quire.llm.mixing import word_count
 
-MIN_WORDS = 3  # of a line that proposes a partner, and of a block that is deleted
+MIN_WORDS = 3  # of a run of lines that proposes a partner, and of a block that is deleted
+#: Two letters of a script that sets no blanks between words, with its marks.
+UNSPACED = (
+    "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
+    "\\x{3001}-\\x{303F}\\x{30FC}\\x{FF01}-\\x{FF0F}\\x{FF1A}-\\x{FF1F}\\x{FF5B}-\\x{FF9F}]{1,2}"
+)
+
+
+def line_words(line: Column) -> Column:
+    """Number of words of a line, where two letters of a script without blanks are a word."""
+    return word_count(F.when(F.octet_length(line) > F.length(line), F.regexp_replace(line, UNSPACED, " x ")).otherwise(line))
 
 
 def _anchors(a: list[int], b: list[int], window: tuple[int, int, int, int]) -> list[tuple[int, int]]:
@@ -143,14 +153,17 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(x, p) for x, p in zip(texts, gone, strict=True)], dtype=object)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+               short_runs: bool = False) -> DataFrame:
     """The documents with their columns, the text without deleted lines, and n_lines and n_removed.
 
-    Two documents are a pair when the later (greater id, then greater hash of the text) has a line of at least
-    `min_words` words whose first document is the other. A line that only one document has proposes nothing; however
-    common a line, it proposes one partner for each document that has it, so nothing need be capped and pairs grow with
-    the lines. Pairs are aligned by patience diff; equal lines side by side form blocks, and those of at least
-    `min_words` words are deleted from the later document. Lines end at line feeds and are compared whole, by hash.
+    Two documents are a pair when the later (greater id, then greater hash of the text) has a run of lines of at least
+    `min_words` words whose first document is the other. Runs are the shortest ones from each line on, and up to each
+    line of fewer words; a line of enough words is a run. With `short_runs`, every block that may be deleted has some
+    that cover it; without, runs in which no line alone has enough words propose nothing. A run that only one document has proposes nothing; however common a run, it proposes one partner for each document
+    that has it, so nothing need be capped and pairs grow with the lines. Pairs are aligned by patience diff; equal
+    lines side by side form blocks, and those of at least `min_words` words are deleted from the later document. Lines
+    end at line feeds and are compared whole, by hash. Two letters of a script without blanks count as a word.
     Repeats inside one document stay. Rows equal in id and text are one document. Null texts stay null, with no line.
     n_chars, where there is such a column, is counted anew.
     """
@@ -158,11 +171,26 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
     held = rows.select(
         F.struct(F.col("id"), F.xxhash64("text").alias("h")).alias("doc"),
-        F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: word_count(x).cast("int")).alias("words"),
+        F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: line_words(x).cast("int")).alias("words"),
     ).where("doc.id IS NOT NULL")
     held = stored(held.dropDuplicates(["doc"]), "line-hashes")  # joined below as read, so a common document's side can be split
-    probe = F.array_distinct(F.expr(f"filter(transform(lines, (x, i) -> IF(words[i] >= {min_words}, x, NULL)), x -> x IS NOT NULL)"))
-    probes = held.select("doc", F.explode(probe).alias("line"))
+    kind = dict(rows.dtypes)["id"]
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(i).flatten().to_numpy() for i in (1, 2)]
+            at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(), dtype=np.int64)])
+            found = []
+            for s, e in zip(at[:-1], at[1:], strict=True):
+                starts, ends, hashes = runs_of(columns[0][s:e], columns[1][s:e], min_words)
+                if not short_runs:
+                    enough = np.concatenate([[0], np.cumsum(columns[1][s:e] >= min_words)])
+                    hashes = hashes[enough[ends] > enough[starts]]
+                found.append(np.unique(hashes))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "runs"])
+
+    runs = held.select("doc", "lines", "words").mapInArrow(propose, f"doc struct<id: {kind}, h: bigint>, runs array<bigint>")
+    probes = runs.select("doc", F.explode("runs").alias("line"))
     firsts = probes.groupBy("line").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     firsts = stored(firsts.select("line", "first"), "first-documents")  # read anew, so a common line's side can be split
     pairs = probes.join(firsts, "line").where("doc > first").select("doc", "first").distinct()
@@ -174,7 +202,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             gone = [repeated_lines(e, l, w, min_words) for e, l, w in zip(*columns, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gone, pa.list_(pa.int32()))], names=["doc", "gone"])
 
-    kind = dict(rows.dtypes)["id"]
     found = work.select("doc", "earlier", "lines", "words").mapInArrow(run, f"doc struct<id: {kind}, h: bigint>, gone array<int>")
     found = found.where(F.size("gone") > 0).groupBy("doc").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone"))
     found = found.select(F.col("doc.id").alias("id"), F.col("doc.h").alias("h"), "gone").alias("f")

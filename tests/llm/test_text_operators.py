@@ -113,6 +113,18 @@ def test_no_common_block_of_enough_words_is_left():
                 assert sum(words[x] for x in kept[i:j]) < 3 or tuple(kept[i:j]) not in spans, (earlier, later, words)
 
 
+def test_blocks_of_short_lines_find_their_documents(spark):
+    menu = "\n".join(f"a{i}\n\nb{i} c{i}" for i in range(40))
+    chinese, thai = "這是一個沒有空格的長句子", "สวัสดีครับ"
+    texts = {1: menu, 2: menu + "\nown line here", 3: "passage of four words", 4: "head\npassage of four words\ntail",
+             5: "other start\nhead\npassage of four words\ntail\nother", 6: f"甲\n{chinese}", 7: f"{chinese}\n乙",
+             8: f"{thai}\nx", 9: f"y\n{thai}", 10: "日本\nz", 11: "日本"}
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(rows, short_runs=True).collect()}
+    assert out[2] == "own line here" and out[4] == "head\ntail" and out[5] == "other start\nother"
+    assert out[7] == "乙" and out[9] == "y" and out[11] == "日本"
+
+
 def test_line_dedup_of_odd_rows(odd, none):
     out = line_dedup.line_dedup(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed"]
