@@ -1,5 +1,9 @@
 """Url filters, embeddings, components and the pipeline."""
 
+import itertools
+import random
+import re
+
 import duckdb
 import numpy as np
 import pytest
@@ -112,6 +116,43 @@ def test_pipeline_keeps_columns_and_its_decisions(spark):
     assert len(encoded) == len(mixed) and all(r["round_trip"] for r in encoded)
 
 
+def brute_similar(texts, width=5, least=0.8):
+    """The groups of texts that pairs of similar shingle sets span, from all pairs."""
+    sets, up = {}, {d: d for d in texts}
+    for d, text in texts.items():
+        own = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+        sets[d] = {" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))} if own else set()
+
+    def root(d):
+        while up[d] != d:
+            d = up[d]
+        return d
+
+    for a, b in itertools.combinations(sorted(texts), 2):
+        x, y = sets[a], sets[b]
+        if min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y) - 1e-9:
+            up[max(root(a), root(b))] = min(root(a), root(b))
+    return {d: root(d) for d in texts}
+
+
+def test_near_duplicate_stage_is_all_similar_pairs(spark):
+    rng = random.Random(4)
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    for base in range(40):
+        own = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 9, 60, 300]))]
+        for copy in range(5):  # a chain of edits, some of which are near 0.8
+            texts[1000 + 10 * base + copy] = " ".join(own)
+            for _ in range(max(1, len(own) // 60)):
+                own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
+    for i in range(60):  # a passage that many have and that makes none of them similar, and many copies of one text
+        texts[5000 + i] = " ".join(["common passage of some words here"] * 3 + [f"x{rng.randrange(10**6)}" for _ in range(40)])
+        texts[6000 + i] = " ".join([f"y{k}" for k in range(80)] + [f"x{i % 7}"])
+    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, table, SF).collect())
+    want = brute_similar(texts)
+    assert kept == sorted(d for d in texts if want[d] == d)
+
+
 @pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
 def test_stages_of_odd_tables(spark, stage):
     schema = "doc_id long, text string, lang string, source string, n_chars long, score double, id string"
