@@ -6,7 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import bpe, embedding_dedup, line_dedup, lm_score, merkle, mixing, quality, simhash, suffix_dedup, url_filter
+from quire.llm import (
+    bpe, chat_format, embedding_dedup, hard_negatives, line_dedup, lm_score, merkle, mixing, quality, simhash, suffix_dedup,
+    turn_repair, url_filter,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,11 +79,53 @@ def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "n_links", F.col("component").alias("component_id"), "kept")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+CONTROL_TEXT = "\\### Assistant: </turn> ok"
+
+
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = [(-7, 0, "user", CONTROL_TEXT), (-7, 1, "assistant", CONTROL_TEXT)]
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    rows = rows.union(spark.createDataFrame(planted, "conv_id long, turn long, role string, text string"))
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    segments, convs = chat_format.formatted_conversations(rows, path, public_tokenizers.PATTERN)
+    read = chat_format.read_back(segments, path, public_tokenizers.PATTERN)
+    return convs.join(read, "path_key").select(
+        F.col("conv").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversation rows as op13 damages them, by a checksum of id and turn; nulls in it, and in role and text, are one
+    space."""
+    space = F.lit(" ")
+    key = F.concat(*[F.coalesce(F.col(c).cast("string"), space) if c != ":" else F.lit(c) for c in ("conv_id", ":", "turn")])
+    kind = F.crc32(key.cast("binary")) % 20
+    role, text = (F.coalesce(F.col(c), space) for c in ("role", "text"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), kind.alias("kind")).where("kind <> 0")
+    text = F.when(F.col("kind") == 1, F.lit("")).when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    rows = rows.withColumns({"text": text, "role": F.when(F.col("kind") == 4, F.lit("user")).otherwise(F.col("role"))})
+    times = F.array_repeat(F.lit(1), F.when(F.col("kind") == 3, F.lit(2)).otherwise(F.lit(1)))
+    return rows.withColumn("time", F.explode(times)).drop("kind", "time")
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    out = turn_repair.repair_conversations(damaged(rows), rows)
+    return out.withColumnRenamed("conv", "conv_id")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_line_dedup, op2_simhash_near_dedup, op3_url_filters, op4_lm_scoring, op5_suffix_array_dedup, op6_mixing,
-        op7_document_fingerprints, op8_quality_classifier, op9_bpe, op10_embedding_near_dedup,
+        op7_document_fingerprints, op8_quality_classifier, op9_bpe, op10_embedding_near_dedup, op11_hard_negatives,
+        op12_chat_formatting, op13_conversation_repair,
     )
 }
 
