@@ -193,27 +193,39 @@ def read_back(segments: DataFrame, path: str, pattern: str) -> DataFrame:
     """(path_key, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars) of every different conversation, found
     from the tokens, spans and loss of its sequence alone."""
 
+    def spans(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First entry of each row, and the start and end of all."""
+        held = column.combine_chunks()
+        inner = held.flatten()
+        lengths = held.value_lengths().to_numpy(zero_copy_only=False)
+        return np.append(0, np.cumsum(lengths)), inner.field("start").to_numpy(), inner.field("end").to_numpy()
+
     def run(rows: pa.Table) -> pa.Table:
         tokens, out = tokenizer(path, pattern), []
-        segments = sorted(rows.to_pylist(), key=lambda r: (r["start"], r["start"] + len(r["tokens"])))
-        whole = np.concatenate([np.array(r["tokens"], np.int32) for r in segments])
+        own = rows["tokens"].combine_chunks()
+        starts, lengths = rows["start"].to_numpy(), own.value_lengths().to_numpy(zero_copy_only=False)
+        flat, offsets = own.flatten().to_numpy(), np.append(0, np.cumsum(lengths))
+        whole = np.zeros(int((starts + lengths).max()), np.int32)
+        for i, (a, n) in enumerate(zip(starts, lengths, strict=True)):
+            whole[a:a + n] = flat[offsets[i]:offsets[i + 1]]
         trained = np.zeros(len(whole), bool)
-        for r in segments:
-            for span in r["loss"]:
-                trained[span["start"]:span["end"]] = True
-        for r in segments:
-            spans = [(s["start"], s["end"]) for s in r["ancestors"]] + [(r["start"], r["start"] + len(r["tokens"]))]
-            at = np.concatenate([np.arange(a, b) for a, b in spans])
-            formatted = tokens.text(whole[at])
+        for a, b in zip(*spans(rows["loss"])[1:], strict=True):
+            trained[a:b] = True
+        first, froms, tos = spans(rows["ancestors"])
+        for i, key in enumerate(rows["path_key"].to_pylist()):
+            held = [slice(a, b) for a, b in zip(froms[first[i]:first[i + 1]], tos[first[i]:first[i + 1]], strict=True)]
+            held.append(slice(starts[i], starts[i] + lengths[i]))
+            ids, mask = (np.concatenate([x[s] for s in held]) for x in (whole, trained))
+            formatted, learnt = tokens.text(ids), unescape(tokens.text(ids[mask]))
             turns = turns_of(formatted)
-            learnt = unescape(tokens.text(whole[at[trained[at]]]))
             said = "".join(f"{role}\n{text}\n" for role, text in turns)
             out.append((
-                r["path_key"], len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt),
+                key, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learnt),
                 hashlib.sha256(learnt.encode()).hexdigest(), len(formatted),
             ))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), _READ, strict=True)], schema=_READ)
 
+    segments = segments.select("sequence", "start", "path_key", "tokens", "ancestors", "loss")
     return segments.groupBy("sequence").applyInArrow(run, READ)  # a sequence is max_tokens and one conversation at most
 
 
