@@ -9,24 +9,39 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import regex
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quire.llm.common import POWERS, mixed, stored
-from quire.llm.mixing import word_count
+from quire.llm.common import POWERS, mixed, stored, utf8, words
 
 MIN_WORDS = 3  # of a run of lines that proposes a partner, and of a block that is deleted
-#: Two letters of a script that sets no blanks between words, with its marks.
+#: Scripts that set no blanks between words, with their marks.
 UNSPACED = (
-    "[\\p{IsHan}\\p{IsHiragana}\\p{IsKatakana}\\p{IsThai}\\p{IsLao}\\p{IsKhmer}\\p{IsMyanmar}"
-    "\\x{3001}-\\x{303F}\\x{30FC}\\x{FF01}-\\x{FF0F}\\x{FF1A}-\\x{FF1F}\\x{FF5B}-\\x{FF9F}]{1,2}"
+    r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}"
+    r"\u3001-\u303F\u30FC\uFF01-\uFF0F\uFF1A-\uFF1F\uFF5B-\uFF9F"
 )
-
-
-def line_words(line: Column) -> Column:
-    """Number of words of a line, where two letters of a script without blanks are a word."""
-    return word_count(F.when(F.octet_length(line) > F.length(line), F.regexp_replace(line, UNSPACED, " x ")).otherwise(line))
+MIXED_WORD = regex.compile(rf"[{UNSPACED}]{{1,2}}|[^\x20\x09-\x0D{UNSPACED}]+")
+
+
+def line_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words of every line of some texts, where two letters of a script without blanks are a word, and the
+    line that each text begins with."""
+    data, offsets = utf8(texts)
+    feeds = np.flatnonzero(data == 10)
+    # A text of n line feeds has n + 1 lines: the starts of texts and what follows the line feeds, in order.
+    starts = np.sort(np.concatenate([offsets[:-1], feeds + 1]), kind="stable")
+    first = np.searchsorted(feeds, offsets[:-1]) + np.arange(len(offsets) - 1)
+    begins = words(data, offsets)[0]
+    counts = np.diff(np.append(np.searchsorted(begins, starts), len(begins)))
+    # Bytes from E0 on begin letters of three bytes or more; those of E2 up to B9 are signs.
+    wide = data >= 0xE0
+    wide[:-1] &= (data[:-1] != 0xE2) | (data[1:] >= 0xBA)
+    ends = np.append(starts[1:], len(data))
+    for i in np.unique(np.searchsorted(starts, np.flatnonzero(wide), "right") - 1).tolist():
+        counts[i] = len(MIXED_WORD.findall(data[starts[i]:ends[i]].tobytes().decode()))
+    return counts, first
 
 
 def _anchors(a: list[int], b: list[int], window: tuple[int, int, int, int]) -> list[tuple[int, int]]:
@@ -117,21 +132,23 @@ def _common_runs(earlier: list[int], later: list[int], words: list[int], least:
 
 
 def repeated_lines(earlier: list[int], later: list[int], words: list[int], least: int = MIN_WORDS) -> list[int]:
-    """Positions of the later document's lines in blocks of at least so many words that the earlier one has. What is
-    left is aligned again until nothing is found, so passages in another order are found as well; blocks that lines of
-    few words kept out of the alignment are then looked up by the hashes of their runs."""
-    left, gone = list(range(len(later))), []
-    while left:
-        pairs = patience(earlier, [later[j] for j in left])
-        blocks: list[list[tuple[int, int]]] = []
-        for i, j in pairs:
-            if blocks and blocks[-1][-1] == (i - 1, j - 1):
-                blocks[-1].append((i, j))
-            else:
-                blocks.append([(i, j)])
-        found = [left[j] for block in blocks if sum(words[left[j]] for _, j in block) >= least for _, j in block]
-        if not found and pairs:
-            found = [left[j] for j in _common_runs(earlier, [later[j] for j in left], [words[j] for j in left], least)]
+    """Positions of the later document's lines in blocks of at least so many words that the earlier one has.
+
+    The documents are aligned once. What is left, passages in another order and blocks that short lines kept out of the
+    alignment, is looked up by the hashes of its runs until nothing is found: a round costs what the lines left cost.
+    """
+    blocks: list[list[tuple[int, int]]] = []
+    for i, j in patience(earlier, later):
+        if blocks and blocks[-1][-1] == (i - 1, j - 1):
+            blocks[-1].append((i, j))
+        else:
+            blocks.append([(i, j)])
+    gone = [j for block in blocks if sum(words[j] for _, j in block) >= least for _, j in block]
+    known = set(earlier)
+    dropped = set(gone)
+    left = [j for j in range(len(later)) if j not in dropped]
+    while any(later[j] in known for j in left):
+        found = [left[j] for j in _common_runs(earlier, [later[j] for j in left], [words[j] for j in left], least)]
         if not found:
             break
         gone += found
@@ -153,28 +170,34 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series([cut(x, p) for x, p in zip(texts, gone, strict=True)], dtype=object)
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
-               short_runs: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """The documents with their columns, the text without deleted lines, and n_lines and n_removed.
 
     Two documents are a pair when the later (greater id, then greater hash of the text) has a run of lines of at least
     `min_words` words whose first document is the other. Runs are the shortest ones from each line on, and up to each
-    line of fewer words; a line of enough words is a run. With `short_runs`, every block that may be deleted has some
-    that cover it; without, runs in which no line alone has enough words propose nothing. A run that only one document has proposes nothing; however common a run, it proposes one partner for each document
+    line of fewer words; a line of enough words is a run, and every block that may be deleted has runs that cover it. A
+    run that only one document has proposes nothing; however common a run, it proposes one partner for each document
     that has it, so nothing need be capped and pairs grow with the lines. Pairs are aligned by patience diff; equal
     lines side by side form blocks, and those of at least `min_words` words are deleted from the later document. Lines
     end at line feeds and are compared whole, by hash. Two letters of a script without blanks count as a word.
     Repeats inside one document stay. Rows equal in id and text are one document. Null texts stay null, with no line.
-    n_chars, where there is such a column, is counted anew.
+    Rows of a null id come back as they are: they have no place in the order of documents. n_chars, where there is such
+    a column, is counted anew.
     """
     lines = F.split(F.col("text"), "\n")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text IS NOT NULL")
-    held = rows.select(
-        F.struct(F.col("id"), F.xxhash64("text").alias("h")).alias("doc"),
-        F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), F.transform(lines, lambda x: line_words(x).cast("int")).alias("words"),
-    ).where("doc.id IS NOT NULL")
-    held = stored(held.dropDuplicates(["doc"]), "line-hashes")  # joined below as read, so a common document's side can be split
     kind = dict(rows.dtypes)["id"]
+    doc = F.struct(F.col("id"), F.xxhash64("text").alias("h")).alias("doc")
+    hashed = rows.where("id IS NOT NULL").select(doc, F.transform(lines, lambda x: F.xxhash64(x)).alias("lines"), "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts, first = line_words(batch.column(2))
+            counted = pa.ListArray.from_arrays(pa.array(np.append(first, len(counts)), pa.int32()), pa.array(counts, pa.int32()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), counted], names=["doc", "lines", "words"])
+
+    held = hashed.mapInArrow(count, f"doc struct<id: {kind}, h: bigint>, lines array<bigint>, words array<int>")
+    held = stored(held.dropDuplicates(["doc"]), "line-hashes")  # joined below as read, so a common document's side can be split
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,11 +205,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             at = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy(), dtype=np.int64)])
             found = []
             for s, e in zip(at[:-1], at[1:], strict=True):
-                starts, ends, hashes = runs_of(columns[0][s:e], columns[1][s:e], min_words)
-                if not short_runs:
-                    enough = np.concatenate([[0], np.cumsum(columns[1][s:e] >= min_words)])
-                    hashes = hashes[enough[ends] > enough[starts]]
-                found.append(np.unique(hashes))
+                found.append(np.unique(runs_of(columns[0][s:e], columns[1][s:e], min_words)[2]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], names=["doc", "runs"])
 
     runs = held.select("doc", "lines", "words").mapInArrow(propose, f"doc struct<id: {kind}, h: bigint>, runs array<bigint>")

@@ -88,7 +88,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     that the tables have; each step down from the longest that the document's start allows costs a factor `backoff`,
     and single words score c(word) / N. n-grams of two or more words that occur fewer than `min_count` times are not in
     the tables. Words are split at white space after A-Z are lower-cased, and never run over documents. The logs are
-    summed per document. Texts without words (null, empty, blank) have log_score 0 and no mean. Ids may repeat.
+    summed per document. Texts without words (null, empty, blank) have log_score 0 and no mean. Ids may repeat; rows
+    whose id is null or no number are dealt to chunks by their text.
 
     Documents are taken in chunks of consecutive ids. A chunk sends each n-gram once, with its count, to the partition
     that its hash belongs to; there the counts are added up, and every chunk gets the totals of its own n-grams back,
@@ -101,12 +102,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     shift = np.uint64(KEY_BITS - bits)
     chunk = F.lit(0)
     if n_chunks > 1:
-        cuts = rows.select(F.col("id").cast("double").alias("id")).approxQuantile(
+        place = F.col("id").cast("string").try_cast("double")
+        cuts = rows.select(place.alias("id")).approxQuantile(
             "id", [i / n_chunks for i in range(1, n_chunks)], 1 / (4 * n_chunks)
         )
-        held = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-        chunk = F.when(F.col("id").isNull(), F.pmod(F.xxhash64("text"), F.lit(n_chunks))).otherwise(
-            F.size(F.filter(held, lambda c: c <= F.col("id").cast("double")))
+        held = F.array(*[F.lit(c) for c in sorted(set(cuts))]).cast("array<double>")
+        chunk = F.when(place.isNull(), F.pmod(F.xxhash64("text"), F.lit(n_chunks))).otherwise(
+            F.size(F.filter(held, lambda c: c <= place))
         )
     rows = rows.withColumn("chunk", chunk.cast("int"))
 

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import GAP, stored
+from quire.llm.common import GAP, fresh, stored
 
 SLICES = 256  # parts in which the documents of one source and length are ranked
 MAX_REPEATS = 3
@@ -157,16 +157,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     )
 
 
-def mixed_documents(docs: DataFrame, seed: int = 17, **options) -> DataFrame:
-    """The documents as the mix takes them, repeats as repeated rows, with the columns they had."""
-    choice = mix(docs, seed=seed, **options).groupBy("row_hash", "id").agg(
+EACH = 4096  # copies that one row is repeated into
+
+
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", seed: int = 17, **options) -> DataFrame:
+    """The documents as the mix takes them, repeats as repeated rows, with the columns they had.
+
+    Rows equal in id and text are taken equally often; what is then left over, fewer copies than there are such rows, is
+    taken of one of them. So the mix has as many rows of each text as `mix` says.
+    """
+    choice = mix(docs, id_col=id_col, text_col=text_col, seed=seed, **options).groupBy("row_hash", "id").agg(
         F.sum("copies").alias("all_copies"), F.count("*").alias("same")
     )
-    key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("text"))
-    held = docs.withColumn("__key", key).alias("d").join(
-        choice.alias("c"), F.expr("d.__key = c.row_hash AND d.doc_id <=> c.id")
+    choice = stored(choice.selectExpr("row_hash", "id", "all_copies div same AS each", "all_copies % same AS rest"), "choice")
+    key = fresh(docs.columns, "key")
+    held = docs.withColumn(key, F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))).alias("d").join(
+        choice.alias("c"), (F.col(f"d.`{key}`") == F.col("c.row_hash")) & F.col(f"d.`{id_col}`").eqNullSafe(F.col("c.id"))
     )
-    # Rows that are equal share what was taken of them; a remainder stays with all of them rather than with none.
-    times = F.expr("CAST(ceil(c.all_copies / c.same) AS INT)")
-    repeated = F.explode(F.sequence(F.lit(1), times))
-    return held.where(times > 0).select(*[F.col(f"d.`{c}`") for c in docs.columns], repeated.alias("__n")).drop("__n")
+    row = F.struct(*[F.col(f"d.`{c}`") for c in docs.columns]).alias("row")
+    whole = held.where("c.each > 0").select(row, F.explode(F.expr("sequence(1, c.each)")))
+    one = held.where("c.rest > 0").groupBy("c.row_hash", "c.id").agg(F.first(row).alias("row"), F.first("c.rest").alias("rest"))
+    parts = one.select("row", "rest", F.explode(F.expr(f"sequence(0, rest - 1, {EACH})")).alias("at"))
+    more = parts.repartition("at").select("row", F.explode(F.expr(f"sequence(at, least(at + {EACH}, rest) - 1)")))
+    return whole.select("row").union(more.select("row")).select("row.*")

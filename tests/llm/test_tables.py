@@ -1,16 +1,19 @@
 """Url filters, embeddings, components and the pipeline."""
 
+import base64
 import itertools
 import random
-import re
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
+import tiktoken
 
 import corpus_pipeline
 from quire.llm import embedding_dedup, queries, url_filter
 from quire.llm.graph import components
+from tests.llm.test_text_operators import brute_lines, brute_print
 
 SF = "/root/testdata/sf0.001"
 
@@ -116,41 +119,82 @@ def test_pipeline_keeps_columns_and_its_decisions(spark):
     assert len(encoded) == len(mixed) and all(r["round_trip"] for r in encoded)
 
 
-def brute_similar(texts, width=5, least=0.8):
-    """The groups of texts that pairs of similar shingle sets span, from all pairs."""
-    sets, up = {}, {d: d for d in texts}
-    for d, text in texts.items():
-        own = re.findall("[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
-        sets[d] = {" ".join(own[i : i + width]) for i in range(max(1, len(own) - width + 1))} if own else set()
-
-    def root(d):
-        while up[d] != d:
-            d = up[d]
-        return d
-
-    for a, b in itertools.combinations(sorted(texts), 2):
-        x, y = sets[a], sets[b]
-        if min(len(x), len(y)) >= least * max(len(x), len(y)) and len(x & y) >= least * len(x | y) - 1e-9:
-            up[max(root(a), root(b))] = min(root(a), root(b))
-    return {d: root(d) for d in texts}
-
-
-def test_near_duplicate_stage_is_all_similar_pairs(spark):
-    rng = random.Random(4)
-    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
-    for base in range(40):
-        own = [f"w{rng.randrange(500)}" for _ in range(rng.choice([3, 9, 60, 300]))]
-        for copy in range(5):  # a chain of edits, some of which are near 0.8
-            texts[1000 + 10 * base + copy] = " ".join(own)
-            for _ in range(max(1, len(own) // 60)):
-                own[rng.randrange(len(own))] = f"e{rng.randrange(10**6)}"
-    for i in range(60):  # a passage that many have and that makes none of them similar, and many copies of one text
-        texts[5000 + i] = " ".join(["common passage of some words here"] * 3 + [f"x{rng.randrange(10**6)}" for _ in range(40)])
-        texts[6000 + i] = " ".join([f"y{k}" for k in range(80)] + [f"x{i % 7}"])
-    table = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    kept = sorted(r.doc_id for r in corpus_pipeline.near_duplicate_stage(spark, table, SF).collect())
-    want = brute_similar(texts)
-    assert kept == sorted(d for d in texts if want[d] == d)
+def fingerprint_groups(rows):
+    """Component of every row by all pairs of fingerprints, from (id, text) rows."""
+    prints = [brute_print(text) for _, text in rows]
+    up = list(range(len(rows)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(rows)), 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 3:
+            up[root(i)] = root(j)
+    return [root(i) for i in range(len(rows))]
+
+
+def test_near_duplicate_stage_keeps_one_row_of_each_group(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(0, "T text of four"), (1, "other words altogether here"), (1, "T text of four"), (5, "U u u"), (5, "U u u"), (None, "A null id"),
+             (None, "A null id"), (None, "shared with three"), (3, "shared with three"), (None, None), (2, ""), (None, " ")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicate_stage(spark, table, SF).collect()]
+    groups = {}
+    for row, group in zip(rows, fingerprint_groups(rows), strict=True):
+        groups.setdefault(group, []).append(row)
+    assert len(kept) == len(groups)
+    for own in groups.values():
+        least = min((i is None, i or 0) for i, _ in own)
+        assert len([k for k in kept if k in own and (k[0] is None, k[0] or 0) == least]) == 1
+    assert kept.count((5, "U u u")) == 1 and (1, "T text of four") not in kept and (0, "T text of four") in kept
+    assert kept.count((None, "A null id")) == 1 and (None, "shared with three") not in kept
+
+
+def test_line_stage_is_the_plain_version(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    gone = brute_lines(texts)
+    out = {r.doc_id: r.text for r in corpus_pipeline.line_stage(spark, docs, SF).collect()}
+    assert out == {d: "\n".join(x for i, x in enumerate(t.split("\n")) if i not in gone[d]) for d, t in texts.items()}
+
+
+def test_mixing_stage_takes_what_the_mix_says(spark):
+    rows = [(i % 40, f"words of text {'x ' * (i % 7)}{i % 40}", ["a", "b", None][i % 3]) for i in range(400)] + [(900, "one two three", "b")] * 101
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want = {}
+    for r in corpus_pipeline.mixing.mix(table).collect():
+        want[r.row_hash] = want.get(r.row_hash, 0) + r.copies
+    got = corpus_pipeline.mixing_stage(spark, table, SF)
+    key = got.selectExpr("xxhash64(17, doc_id, text) AS k").groupBy("k").count().collect()
+    assert {r.k: r["count"] for r in key} == {k: n for k, n in want.items() if n}
+
+
+def test_quality_and_encoding_stages_are_their_operators(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    scored = {r.doc_id for r in queries.QUERIES["op8_quality_classifier"](spark, SF).collect() if r.predicted}
+    assert {r.doc_id for r in corpus_pipeline.quality_stage(spark, docs, SF).collect()} == scored
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    for r in corpus_pipeline.encoding_stage(spark, docs, SF).collect():
+        assert r.round_trip and list(r.token_ids) == plain.encode_ordinary(r.text or "")
+
+
+@pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))
+def test_stages_of_clashing_names(spark, stage):
+    names = ["token_ids", "round_trip", "decoded", "own_ids", "own_decoded", "key", "__key", "__n", "row", "row_key", "n_lines", "N_Removed",
+             "quality_score", "fp", "component", "unnamed", "at", "rest", "each", "row_hash", "copies", "size", "h", "lines", "words", "gone", "label"]
+    rows = [(i, f"Plain words of text {i}\nand more of them {i}", "en", "s", 30, *[f"{c}{i}" for c in names]) for i in range(4)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names)
+    table = spark.createDataFrame(rows, schema)
+    name, run = corpus_pipeline.STAGES[stage]
+    out = run(spark, table, SF)
+    last = stage == len(corpus_pipeline.STAGES) - 1
+    kept = [c for c in table.columns if not (last and c in ("token_ids", "round_trip"))]
+    assert out.columns == kept + ["token_ids", "round_trip"] * last
+    for r in out.collect():
+        assert all(r[c] == f"{c}{r.doc_id}" for c in names if c in kept)
 
 
 @pytest.mark.parametrize("stage", range(len(corpus_pipeline.STAGES)))

@@ -51,35 +51,94 @@ def texts_of(df):
 # --- line dedup -------------------------------------------------------------------------------------------------------
 
 
+def line_runs(lines, words, least=3):
+    """The shortest runs of at least so many words, from each line on and up to each line, as (start, end)."""
+    out = set()
+    for i in range(len(lines)):
+        n = 0
+        for j in range(i, len(lines)):
+            n += words[j]
+            if n >= least:
+                out.add((i, j + 1))
+                break
+        n = 0
+        for j in range(i, -1, -1):
+            n += words[j]
+            if n >= least:
+                out.add((j, i + 1))
+                break
+    return out
+
+
 def brute_lines(texts, least=3):
-    """Every later document against the first documents of its lines, by difflib-free set logic: a line goes if an
-    earlier such document has it and it, with equal neighbours, has enough words."""
-    gone = {}
+    """Positions of the lines that leave each document: those in runs of enough words that the first document of some run
+    has too, looked up until nothing is found, by plain tuples of lines."""
+    count = {line: len(line_dedup.MIXED_WORD.findall(line)) for text in texts.values() for line in text.split("\n")}
+    split = {doc: text.split("\n") for doc, text in sorted(texts.items())}
+    spans = {d: {tuple(x[i:j]) for i, j in line_runs(x, [count[y] for y in x], least)} for d, x in split.items()}
     firsts = {}
-    for doc in sorted(texts):
-        for line in set(texts[doc].split("\n")):
-            if len(WORD.findall(line)) >= least:
-                firsts.setdefault(line, doc)
-    for doc in sorted(texts):
-        lines = texts[doc].split("\n")
-        gone[doc] = {i for i, x in enumerate(lines) if firsts.get(x, doc) < doc}
+    for doc, held in spans.items():
+        for run in held:
+            firsts.setdefault(run, doc)
+    gone = {}
+    for doc, lines in split.items():
+        gone[doc] = set()
+        for partner in {firsts[run] for run in spans[doc]} - {doc}:
+            known = {}
+            left = list(range(len(lines)))
+            while True:
+                here = [lines[i] for i in left]
+                found = set()
+                for i, j in line_runs(here, [count[x] for x in here], least):
+                    run = here[i:j]
+                    if run not in known.setdefault(len(run), []):
+                        at = [split[partner][k:k + len(run)] for k in range(len(split[partner]) - len(run) + 1)]
+                        if run not in at:
+                            continue
+                        known[len(run)].append(run)
+                    found |= set(left[i:j])
+                if not found:
+                    break
+                gone[doc] |= found
+                left = [i for i in left if i not in found]
     return gone
 
 
-def test_lines_of_enough_words_leave_later_documents(spark, docs):
+def test_lines_of_later_documents_leave_in_blocks(spark, docs):
+    """The query's setting over the whole smallest table, against plain tuples of lines."""
     texts = texts_of(docs)
     out = {r.doc_id: r for r in line_dedup.line_dedup(docs).collect()}
     gone = brute_lines(texts)
-    assert len(out) == len(texts)
+    assert len(out) == len(texts) and sum(map(len, gone.values())) > 100
     for doc, text in texts.items():
         lines = text.split("\n")
-        kept = out[doc].text.split("\n")
         left = [x for i, x in enumerate(lines) if i not in gone[doc]]
-        # Short lines between deleted ones may go with their block; no other line may.
-        assert [x for x in kept if len(WORD.findall(x)) >= 3] == [x for x in left if len(WORD.findall(x)) >= 3]
-        assert out[doc].n_lines == len(lines) and out[doc].n_removed == len(lines) - (len(kept) if out[doc].text or len(lines) > out[doc].n_removed else 0)
-        if not gone[doc]:
-            assert out[doc].text == text
+        assert out[doc].n_lines == len(lines)
+        # Aligned blocks may take short lines at their edges along, which have no run of their own.
+        assert out[doc].text == "\n".join(left), doc
+        assert out[doc].n_removed == len(gone[doc])
+
+
+def test_words_of_lines(spark):
+    import pyarrow as pa
+
+    texts = [None, "", "\n", "a b\n\n c", "  x\ty  ", "é ü\n“quoted” — dash", "日本語の文\nabc日本 def", "สวัสดี x", "\u2e80\u2e81\u2e82", "\U00020000 a"]
+    counts, first = line_dedup.line_words(pa.array(texts))
+    assert first.tolist() == [0, 1, 2, 4, 7, 8, 10, 12, 13, 14]
+    lines = [x for t in texts for x in (t or "").split("\n")]
+    assert counts.tolist() == [len(line_dedup.MIXED_WORD.findall(x)) for x in lines]
+    assert counts.tolist()[-5:] == [3, 3, 4, 2, 2]
+
+
+def test_reversed_and_repeated_lines_take_few_rounds():
+    import time
+
+    began = time.time()
+    lines = list(range(20_000))
+    assert line_dedup.repeated_lines(lines, lines[::-1], [5] * 20_000) == lines
+    assert line_dedup.repeated_lines(lines, lines[::-1] + [-1], [1] * 20_001) == []
+    assert line_dedup.repeated_lines([7] * 20_000, [7] * 19_999 + [8], [1] * 20_000) == list(range(19_999))
+    assert time.time() - began < 5
 
 
 def test_patience_aligns_in_order_and_repeats_find_moved_blocks():
@@ -120,7 +179,7 @@ def test_blocks_of_short_lines_find_their_documents(spark):
              5: "other start\nhead\npassage of four words\ntail\nother", 6: f"甲\n{chinese}", 7: f"{chinese}\n乙",
              8: f"{thai}\nx", 9: f"y\n{thai}", 10: "日本\nz", 11: "日本"}
     rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
-    out = {r.doc_id: r.text for r in line_dedup.line_dedup(rows, short_runs=True).collect()}
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup(rows).collect()}
     assert out[2] == "own line here" and out[4] == "head\ntail" and out[5] == "other start\nother"
     assert out[7] == "乙" and out[9] == "y" and out[11] == "日本"
 
@@ -237,6 +296,13 @@ def test_scores_of_odd_rows(odd, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_scores_of_text_ids(docs, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK", 60_000)
+    named = docs.selectExpr("concat('d', doc_id) AS doc_id", "text")
+    want = {f"d{r.doc_id}": r.log_score for r in lm_score.score(docs).collect()}
+    assert {r.doc_id: r.log_score for r in lm_score.score(named).collect()} == pytest.approx(want)
+
+
 # --- suffix arrays ----------------------------------------------------------------------------------------------------
 
 
