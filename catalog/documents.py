@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from catalog.retrieval import BLANK_SQL
+from catalog.slices import SLICES
 from catalog.views import table, view, with_views
 from quire.functions.sections import section_of
 from quire.functions.text import token_count
 from quire.operators import chunking, elements, embedding, splitting
-from quire.plans import ingest
+from quire.plans import console, ingest
 from quire.sources import documents
 from quire.sources.scratch import scratch_dir
 
@@ -209,6 +212,22 @@ def split_text(spark, sf):
     )
 
 
+def split_sql(spark, sf):
+    """The slices of whole documents and tables by the splitter as a table function in a LATERAL join."""
+    rows = chunk_rows(spark, sf).select("chunk_id", "text", "is_table").unionByName(
+        documents.spread(table(spark, sf, "documents")).where("text IS NOT NULL").select(
+            chunking.chunk_key(F.concat(F.lit("whole-"), "doc_id"), F.lit(0)).alias("chunk_id"), "text", F.lit(False).alias("is_table")
+        )
+    )
+    splitting.register_splitter(spark, LIMITS)
+    return console.read_only_sql(
+        spark,
+        """SELECT c.chunk_id, s.slice_index, length(s.slice) AS characters, sha2(s.slice, 256) AS text_hash
+FROM texts c, LATERAL split_text(c.text, c.is_table) s""",
+        tables={"texts": rows},
+    )
+
+
 def split_lineage(spark, sf):
     """Per parent: whether its slices are as many as stated, numbered in sequence, told apart, flagged and bounded."""
     rows = split_rows(spark, sf)
@@ -229,13 +248,13 @@ def split_lineage(spark, sf):
 
 
 def split_bounds(spark, sf):
-    """Per parent: whether it was oversized and whether splitting happened, and the words it keeps.
-
-    Slices overlap, so the distinct words of the slices must be those of the parent text.
-    """
-    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)))
-    per_word = split_rows(spark, sf).where("NOT is_table").select("doc_id", F.explode(words).alias("word"))
-    return per_word.groupBy("doc_id").agg(F.count_distinct("word").alias("words"))
+    """Per parent, tables included: its slices, the characters of the longest, and the distinct words they keep."""
+    rows = split_rows(spark, sf).withColumn("parent", F.coalesce("parent_chunk_id", "chunk_id"))
+    words = F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    distinct = F.array_size(F.array_distinct(F.flatten(F.collect_list(words))))  # of one parent
+    return rows.groupBy("parent", "doc_id", "is_table").agg(
+        F.count(F.lit(1)).alias("slices"), F.max(F.length("text")).alias("longest"), distinct.alias("words")
+    )
 
 
 def micro(vector: str = "embedding"):
@@ -281,12 +300,18 @@ def embed_chunks(spark, sf):
 
 
 def ingest_pipeline(spark, sf):
-    """Documents to chunk rows in one plan: metadata, elements, sections, splitting, packing."""
+    """Documents to lake rows in one plan: metadata, elements, sections, splitting, balancing, packing, embedding."""
     parsed = ingest.parse(all_docs(spark, sf), view(spark, sf, "sidecars"))
-    rows = chunking.pack_metadata(ingest.chunk(parsed, splitting.Limits(max_tokens=10**9, max_characters=10**9)))
-    tokens = F.get_json_object("metadata_json", "$.token_count").cast("bigint")
+    rows = ingest.lake_rows(ingest.chunk(parsed), date(2025, 3, 1))
+    meta = F.col("metadata_json")
+    square = F.aggregate("embedding", F.lit(0.0), lambda s, v: s + v.cast("double") * v.cast("double"))
     return rows.groupBy("source_filename", "doc_id", "domain", "form_type", "filing_date", "section").agg(
-        F.count(F.lit(1)).alias("chunks"), F.sum(tokens).alias("tokens"), F.count_if("is_table").alias("tables")
+        F.count(F.lit(1)).alias("chunks"),
+        F.sum(F.get_json_object(meta, "$.token_count").cast("bigint")).alias("tokens"),
+        F.count_if("is_table").alias("tables"),
+        F.count_if(F.get_json_object(meta, "$.is_split") == "true").alias("slices"),
+        F.sum(F.size("embedding")).alias("dimensions"),
+        F.count_if(F.abs(square - 1) < 1e-5).alias("unit_vectors"),
     )
 
 
@@ -308,6 +333,7 @@ QUERIES = {
     "doc_metrics": doc_metrics,
     "pack_metadata": pack_metadata,
     "split_text": split_text,
+    "split_sql": split_sql,
     "split_lineage": split_lineage,
     "split_bounds": split_bounds,
     "hash_embed": hash_embed,
@@ -377,7 +403,7 @@ tels AS (SELECT filename, row_number() OVER (PARTITION BY filename ORDER BY pn)
   CASE WHEN length(text) < 80 AND right(text, 1) NOT IN ('.', ',', ';', ':') THEN 'Title' ELSE 'NarrativeText' END AS category,
   text, NULL::VARCHAR AS html FROM tclean WHERE text <> '')"""
 JSON_STEPS = """
-jdocs AS (SELECT filename, CASE WHEN json_valid(content) THEN content END AS j FROM docs WHERE regexp_matches(filename, '(?i)\\.json$')),
+jdocs AS (SELECT filename, CASE WHEN json_valid(content) THEN replace(content, '{"title": "old", ', '{') END AS j FROM docs WHERE regexp_matches(filename, '(?i)\\.json$')),
 jels AS (
   SELECT filename, 0 AS position, 'Title' AS category, j ->> '$.title' AS text, NULL::VARCHAR AS html FROM jdocs WHERE json_type(j) = 'OBJECT'
   UNION ALL SELECT filename, 1, 'NarrativeText', j ->> '$.content', NULL FROM jdocs WHERE json_type(j) = 'OBJECT'
@@ -402,6 +428,14 @@ marked AS (SELECT *, {section_sql("text")} AS sec FROM els),
 chunks AS (SELECT filename AS doc_id, position, {CASCADE} AS section, html IS NOT NULL AS is_table, coalesce(html, text) AS text,
   category, {tokens_sql("coalesce(html, text)")} AS token_count, {uuid_sql("filename || ':' || position")} AS chunk_id, html FROM marked)"""
 
+#: Chunks and whole documents as the texts to split.
+WHOLE = f"""{CHUNKS}, whole AS (
+  SELECT chunk_id AS key, doc_id, position, is_table, text FROM chunks
+  UNION ALL SELECT {uuid_sql("'whole-' || doc_id || ':0'")}, 'whole-' || doc_id, 0, false, text FROM documents WHERE text IS NOT NULL)"""
+
+#: Chunks as an ingest splits them.
+SLICED = f"""{CHUNKS}, whole AS (SELECT chunk_id AS key, doc_id, position, section, is_table, text FROM chunks), {SLICES}"""
+
 MICRO = "array_to_string(list_transform({v}, lambda v: CAST(CAST(round(v * 1e6) AS BIGINT) AS VARCHAR)), ',')"
 
 
@@ -466,12 +500,15 @@ count(*) FILTER (WHERE is_table) AS table_count FROM chunks GROUP BY doc_id""",
     "pack_metadata": f"""{CHUNKS} SELECT chunk_id, '{{"element_type":"' || category || '","category":"' || category || '"' ||
 CASE WHEN is_table THEN ',"table_html":' || CAST(to_json(text) AS VARCHAR) ELSE '' END || ',"token_count":' || token_count ||
 CASE WHEN position % 3 = 0 THEN ',"page_number":' || (position + 1) ELSE '' END || '}}' AS metadata_json FROM chunks""",
+    "split_text": f"""{WHOLE}, {SLICES} SELECT doc_id, position, CASE WHEN total > 1 THEN n END AS sub_chunk_index,
+  {tokens_sql("s.text")} AS token_count, length(s.text) AS characters, sha256(s.text) AS text_hash FROM slices s JOIN whole USING (key)""",
+    "split_sql": f"""{WHOLE}, {SLICES} SELECT key AS chunk_id, n AS slice_index, length(text) AS characters, sha256(text) AS text_hash FROM slices""",
     "split_lineage": f"""{CHUNKS} SELECT chunk_id AS parent, doc_id, is_table, true AS numbered, true AS flags_agree, true AS bounded FROM chunks
 UNION ALL SELECT {uuid_sql("'whole-' || doc_id || ':0'")}, 'whole-' || doc_id, false, true, true, true FROM documents""",
-    "split_bounds": f"""{CHUNKS}, t AS (SELECT doc_id, text FROM chunks WHERE NOT is_table
-  UNION ALL SELECT 'whole-' || doc_id, text FROM documents),
-w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM t)
-SELECT doc_id, count(*) AS words FROM w GROUP BY doc_id""",
+    "split_bounds": f"""{WHOLE}, {SLICES}, w AS (SELECT key, count(DISTINCT word) AS words FROM (
+  SELECT key, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}_]+')) AS word FROM slices) GROUP BY key)
+SELECT key AS parent, doc_id, is_table, slices, longest, coalesce(words, 0) AS words
+FROM (SELECT key, count(*) AS slices, max(length(text)) AS longest FROM slices GROUP BY key) JOIN whole USING (key) LEFT JOIN w USING (key)""",
     "hash_embed": f"SELECT doc_id, {MICRO.format(v='e')} AS millionths FROM ({hash_sql('doc_id', 'text', '64')})",
     "l2_normalize": f"""SELECT vec_id, {MICRO.format(v='list_transform(e, lambda x: CASE WHEN n > 1e-9 THEN x / n ELSE 1 / sqrt(len(e)) END)')} AS millionths
 FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
@@ -482,13 +519,16 @@ FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
 array_to_string(list_transform(e, lambda x: CAST(CAST(round(CAST(CAST(x / n AS FLOAT) AS DOUBLE) * 1e4) AS BIGINT) AS VARCHAR)), ',') AS e4
 FROM (SELECT *, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS n FROM (
   {hash_sql("doc_id", "CASE WHEN doc_id % 50 = 0 THEN '__empty__' ELSE text END", "[384, 768, 1024][doc_id % 3 + 1]")}))""",
-    "ingest_pipeline": f"""{CHUNKS}, {SIDECAR_META.replace("raw_text r", "raw_text r")},
-named AS (SELECT d.filename, m, coalesce(m ->> '$.doc_id', substr(sha256(d.content), 1, 16)) AS did FROM docs d LEFT JOIN meta ON meta.filename = d.filename)
-SELECT c.doc_id AS source_filename, did AS doc_id, coalesce(m ->> '$.domain', 'finance') AS domain,
-  CASE WHEN m IS NULL THEN {FORM.replace("filename", "c.doc_id")} ELSE coalesce(m ->> '$.form_type', 'MISC') END AS form_type,
-  CAST(m ->> '$.filing_date' AS DATE) AS filing_date, section, count(*) AS chunks, CAST(sum(token_count) AS BIGINT) AS tokens,
-  count(*) FILTER (WHERE is_table) AS tables
-FROM chunks c JOIN named n ON n.filename = c.doc_id GROUP BY ALL""",
+    "ingest_pipeline": f"""{SLICED}, {SIDECAR_META},
+named AS (SELECT d.filename, m, coalesce(m ->> '$.doc_id', substr(sha256(d.content), 1, 16)) AS did FROM docs d LEFT JOIN meta ON meta.filename = d.filename),
+every AS (SELECT w.doc_id AS source_filename, did AS doc_id, coalesce(m ->> '$.domain', 'finance') AS domain,
+  CASE WHEN m IS NULL THEN {FORM.replace("filename", "w.doc_id")} ELSE coalesce(m ->> '$.form_type', 'MISC') END AS form_type,
+  CAST(m ->> '$.filing_date' AS DATE) AS filing_date, section, {tokens_sql("s.text")} AS tokens, is_table, total > 1 AS cut
+  FROM slices s JOIN whole w USING (key) JOIN named n ON n.filename = w.doc_id)
+SELECT source_filename, doc_id, domain, form_type, filing_date, section, count(*) AS chunks, CAST(sum(tokens) AS BIGINT) AS tokens,
+  count(*) FILTER (WHERE is_table) AS tables, count(*) FILTER (WHERE cut) AS slices,
+  CAST(sum(CASE domain WHEN 'literature' THEN 768 ELSE 384 END) AS BIGINT) AS dimensions, count(*) AS unit_vectors
+FROM every GROUP BY ALL""",
 }
 # The pipeline query needs the sidecar view too.
 ORACLES["ingest_pipeline"] = ORACLES["ingest_pipeline"].replace(

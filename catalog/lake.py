@@ -2,21 +2,23 @@
 
 from __future__ import annotations
 
-from datetime import date
+from datetime import date, datetime, timedelta, timezone
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import functions as F
 
-from catalog.documents import CHUNKS, all_docs, html_docs
+from catalog.documents import CHUNKS, SLICED, all_docs, html_docs, tokens_sql
 from catalog.retrieval import SCORED, lake, query_vector, rounded
 from catalog.views import table, view, with_views
 from quire.functions.display import format_bytes, format_item_size, format_volume
+from quire.functions.text import base_name
 from quire.operators import retrieval, telemetry
 from quire.operators.queue import dispatch_once
-from quire.operators.splitting import Limits
 from quire.plans import ingest
 from quire.sources.lake import lake_files, lake_scan, missing_embeddings, write_lake
 from quire.sources.scratch import scratch_dir
-from quire.streaming.intake import Intake, stream_ingest
+from quire.streaming.intake import Intake, sweep_ingest
 from quire.streaming.stability import write_complete
 
 TODAY = date(2025, 3, 1)
@@ -104,24 +106,43 @@ def dispatch(spark, sf):
     return dispatch_once(observed, in_flight)
 
 
-UNSPLIT = Limits(max_tokens=10**9, max_characters=10**9)
+def put_files(rows, folder):
+    """Write (name, content) rows as files of a shared folder, each task its own."""
+
+    def put(batches):
+        target, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name, content in zip(*(c.to_pylist() for c in batch.columns)):
+                with target.open_output_stream(f"{root}/{name}") as out:
+                    out.write(content)
+            yield pa.RecordBatch.from_pydict({"files": [len(batch)]})
+
+    return rows.mapInArrow(put, "files bigint").agg(F.sum("files")).first()[0]
 
 
 def streamed_intake(spark, sf):
-    """All raw documents offered as a stream of files, ingested once, reported per document."""
-    source = scratch_dir(spark, "drop")
+    """All raw documents as files of a drop folder, swept four times and ingested, reported per path and attempt.
+
+    Every fifth file is half written at the first sweep. The last call finds nothing that was not dispatched.
+    """
+    work = scratch_dir(spark, "work")
+    drop = f"{work}/drop"
     rows = all_docs(spark, sf).select(
-        F.concat(F.lit("/drop/"), "filename").alias("path"),
-        F.timestamp_seconds(F.lit(1704067200)).alias("modificationTime"),
-        F.col("file_size_bytes").alias("length"),
-        F.encode("content", "utf-8").alias("content"),
+        F.col("filename").alias("name"), F.encode("content", "utf-8").alias("content"), "file_size_bytes"
     )
-    rows.write.parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(source)
-    intake = Intake(scratch_dir(spark, "lake") + "/lake", scratch_dir(spark, "records"), limits=UNSPLIT, ingest_date=TODAY)
-    stream_ingest(stream, intake, scratch_dir(spark, "checkpoint")).awaitTermination()
-    summary = intake.summaries(spark)
-    return summary.select("file_path", "status", "chunk_count", "token_total", "error_message")
+    fs.FileSystem.from_uri(work)[0].create_dir(fs.FileSystem.from_uri(drop)[1], recursive=True)
+    half = F.substring("content", F.lit(1), (F.col("file_size_bytes") / 2 + 1).cast("int"))
+    slow = F.pmod(F.xxhash64("name"), F.lit(5)) == 0
+    put_files(rows.select("name", F.when(slow, half).otherwise(F.col("content")).alias("content")), drop)
+    intake = Intake(f"{work}/lake", f"{work}/records", ingest_date=TODAY)
+    start = datetime(2025, 3, 1, tzinfo=timezone.utc)
+    times = [start + timedelta(seconds=n) for n in range(5)]
+    sweep_ingest(spark, drop, intake, work, times[:1])
+    put_files(rows.where(slow).select("name", "content"), drop)
+    sweep_ingest(spark, drop, intake, work, times[1:4])
+    sweep_ingest(spark, drop, intake, work, times[4:])
+    summary = intake.summaries(spark).withColumn("file_path", base_name(F.col("file_path")))
+    return summary.select("file_path", "attempt", "status", "chunk_count", "token_total", "error_message")
 
 
 def pipeline_search(spark, sf):
@@ -188,8 +209,9 @@ st AS (SELECT path, n, event_id, size, size AS seen, t AS last, 0 AS cnt, true A
 SELECT path, event_id, size FROM st WHERE done""",
     "dispatch_once": f"""{with_views("file_observations")}, latest AS (SELECT user_id, arg_max(event_type, (ts, event_id)) AS kind FROM events GROUP BY user_id)
 SELECT DISTINCT path FROM file_observations WHERE path NOT IN (SELECT 'f' || user_id || '.htm' FROM latest WHERE kind = 'click')""",
-    "stream_ingest": f"""{CHUNKS}, n AS (SELECT doc_id, count(*) AS chunk_count, CAST(sum(token_count) AS BIGINT) AS token_total FROM chunks GROUP BY doc_id)
-SELECT filename AS file_path, CASE WHEN n.doc_id IS NULL THEN 'failed' ELSE 'completed' END AS status,
+    "stream_ingest": f"""{SLICED}, n AS (
+  SELECT doc_id, count(*) AS chunk_count, CAST(sum({tokens_sql("s.text")}) AS BIGINT) AS token_total FROM slices s JOIN whole USING (key) GROUP BY doc_id)
+SELECT filename AS file_path, 1 AS attempt, CASE WHEN n.doc_id IS NULL THEN 'failed' ELSE 'completed' END AS status,
   coalesce(chunk_count, 0) AS chunk_count, coalesce(token_total, 0) AS token_total,
   CASE WHEN n.doc_id IS NULL THEN 'malformed JSON: ' || filename END AS error_message
 FROM docs LEFT JOIN n ON n.doc_id = docs.filename""",

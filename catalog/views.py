@@ -52,7 +52,7 @@ FROM pages
 
 RAW_JSON = """
 SELECT concat('conv_', CAST(conv_id AS STRING), '_', CAST(turn AS STRING), '.json') AS filename,
-       CASE conv_id % 3 WHEN 0 THEN concat('{"title": "', role, ' ', CAST(conv_id AS STRING), '", "content": "turn ', CAST(turn AS STRING), '"}')
+       CASE conv_id % 3 WHEN 0 THEN concat('{', CASE WHEN conv_id % 2 = 0 THEN '"title": "old", ' ELSE '' END, '"title": "', role, ' ', CAST(conv_id AS STRING), '", "content": "turn ', CAST(turn AS STRING), '"}')
                         WHEN 1 THEN concat('["', role, '", "turn ', CAST(turn AS STRING), '"]')
                         ELSE '{"title": ' END AS content
 FROM conversations

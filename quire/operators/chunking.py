@@ -110,6 +110,7 @@ METADATA_FIELDS = (
     "table_id",
     "is_table_fragment",
     "page_number",
+    "source_path",
 )
 
 

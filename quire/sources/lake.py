@@ -17,13 +17,18 @@ from quire.sources.scratch import path_exists
 def lake_scan(spark: SparkSession, root: str, domain: str | None = None) -> DataFrame:
     """Lake rows with their path columns; a missing lake or domain is empty, not an error.
 
-    The domain is a partition predicate, so other domains' folders are never listed for reading.
+    Of a domain only its own folder is listed.
     """
-    if not path_exists(spark, root):
-        return spark.createDataFrame([], LAKE)
-    lake = spark.read.schema(LAKE).option("basePath", root).parquet(root)
     key = (domain or "").strip().lower()
-    return lake.where(F.col("domain") == key) if key else lake
+    folder = f"{root.rstrip('/')}/domain={path_name(spark, key)}" if key else root
+    if not path_exists(spark, folder):
+        return spark.createDataFrame([], LAKE)
+    return spark.read.schema(LAKE).option("basePath", root).parquet(folder)
+
+
+def path_name(spark: SparkSession, value: str) -> str:
+    """A value as Spark writes it into the name of a partition folder."""
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(value)
 
 
 def normal_domain(domain: Column) -> Column:

@@ -277,3 +277,38 @@ def test_a_caller_may_bring_a_splitter(spark):
     assert [r["text"] for r in rows.orderBy("sub_chunk_index").collect()] == ["abc", "def"] or rows.count() > 1
     base = chunking.assemble_chunks(chunking.explode_elements(chunking.with_sections(ingest.parse(docs(spark, ("a.txt", "abcdef"))).select(*ingest.DOCUMENT, "elements"))))
     assert [r["text"] for r in splitting.split_chunks(base, splitting.Limits(max_characters=3), halves).orderBy("sub_chunk_index").collect()] == ["abc", "def"]
+
+
+def test_json_that_the_variant_parser_refuses(spark):
+    """Repeated keys and great size are valid JSON; only malformed text is an error."""
+    big = '{"title": "t", "content": "' + "x" * 150_000_000 + '"}'
+    texts = {
+        "twice.json": '{"title": "x", "title": "y", "content": "a", "content": "z"}', "nested.json": '{"name": "n", "body": {"b": 1, "a": 2, "a": true}}',
+        "none.json": '{"k": 1, "k": 2} ', "items.json": '[{"a": 1, "a": null}, "s", 1.5, false, null]', "bad.json": '{"title": "x", "title": ',
+        "tail.json": '{"a": 1, "a": 2} more', "deep.json": "[" * 200_000, "plain.json": '{"title": 0, "name": "n", "text": "t"}', "page.txt": '{"a": 1, "a": 2}',
+    }
+    rows = spark.createDataFrame([(n, len(t), t) for n, t in texts.items()], "filename string, file_size_bytes bigint, content string")
+    out = {r["filename"]: r for r in elements.with_errors(elements.with_elements(rows)).collect()}
+    parts = {n: [(e["category"], e["text"]) for e in r["elements"]] if r["elements"] is not None else None for n, r in out.items()}
+    assert parts["twice.json"] == [("Title", "y"), ("NarrativeText", "z")]
+    assert parts["nested.json"] == [("Title", "n"), ("NarrativeText", '{"a":true,"b":1}')]
+    assert parts["none.json"] == [("NarrativeText", '{"k": 1, "k": 2}')]
+    assert [t for _, t in parts["items.json"]] == ['{"a":null}', "s", "1.5", "False", "None"]
+    assert parts["plain.json"] == [("Title", "n"), ("NarrativeText", "t")] and parts["page.txt"] == [("Title", '{"a": 1, "a": 2}')]
+    for name in ("bad.json", "tail.json", "deep.json"):
+        assert parts[name] is None and out[name]["error_message"] == f"malformed JSON: {name}"
+    large = spark.range(1).select(F.lit("big.json").alias("filename"), F.concat(F.lit('{"title": "t", "content": "'), F.expr("repeat('x', 150000000)"), F.lit('"}')).alias("content"))
+    found = elements.with_elements(large).select(F.size("elements").alias("n"), F.length(F.col("elements")[1]["text"]).alias("size")).first()
+    assert (found["n"], found["size"]) == (2, 150_000_000) and len(big) > 150_000_000
+
+
+def test_splitter_as_a_table_function(spark):
+    limits = splitting.Limits(max_tokens=20, overlap_tokens=4, max_characters=200)
+    texts = [(i, "Some words here. " * (i * 7) + "tail", i % 2 == 1) for i in range(12)] + [(90, None, False), (91, "", True), (92, "fits", None)]
+    splitting.register_splitter(spark, limits, name="cut")
+    spark.createDataFrame(texts, "id int, text string, is_table boolean").createOrReplaceTempView("to_cut")
+    got = spark.sql("SELECT id, s.* FROM to_cut t, LATERAL cut(t.text, t.is_table) s").collect()
+    want = {(i, n, x) for i, t, b in texts if t is not None for n, x in enumerate((lambda p: p if len(p) > 1 else [t])(splitting.split_text(t, bool(b), limits)))}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    splitting.register_splitter(spark, limits, split=lambda t, is_table, limits: t.split(), name="by_words")
+    assert spark.sql("SELECT * FROM by_words('a b', false)").count() == 2

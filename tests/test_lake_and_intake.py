@@ -1,6 +1,6 @@
 import json
 import os
-from datetime import date, datetime, timedelta
+from datetime import date, datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from quire.sources import filings as indexes
 from quire.sources import lake, records
 from quire.sources import queue as listings
 from quire.sources.documents import intake_filter, raw_scan, sidecar_files
-from quire.streaming.intake import Intake, stream_ingest, watch
+from quire.sources.lake import lake_scan, write_lake
+from quire.streaming.intake import Intake, ask_again, settle_offered, stream_ingest, sweep_ingest, watch
 from quire.streaming.stability import ROCKSDB, advance, stream_write_complete, write_complete
 from tests.test_retrieval import ROWS, SCHEMA
 
@@ -100,7 +101,7 @@ def test_stream_ingest_settles_once(spark, tmp_path):
     (drop / "c.txt.tmp").write_text("x")
     intake = Intake(root, notes, lambda s: sidecar_files(s, str(drop)), ingest_date=DAY)
     stream_ingest(watch(spark, str(drop)), intake, mark).awaitTermination()
-    got = {r["file_path"]: (r["status"], r["chunk_count"], len(r["parquet_paths"])) for r in intake.summaries(spark).collect()}
+    got = {os.path.basename(r["file_path"]): (r["status"], r["chunk_count"], len(r["parquet_paths"])) for r in intake.summaries(spark).collect()}
     assert got == {"a.htm": ("completed", 4, 1), "b.json": ("failed", 0, 0)}
     assert {r["form_type"] for r in lake.lake_scan(spark, root).collect()} == {"10-Q"}
     (drop / "d.txt").write_text("new\n\nfile")
@@ -196,6 +197,60 @@ def test_streaming_write_completeness(spark, tmp_path):
     assert sorted((r["path"], (r["observed_at"] - start).total_seconds()) for r in done) == fold(rows, 1.0, 2)
 
 
+def test_gated_intake(spark, tmp_path):
+    """A growing file enters once and whole, equal names are two files, a failed one is tried again as the next attempt."""
+    drop, work = tmp_path / "drop", str(tmp_path / "work")
+    for folder in ("a", "b"):
+        (drop / folder).mkdir(parents=True)
+    start = datetime(2025, 3, 1, tzinfo=timezone.utc)
+    clock = iter(start + timedelta(seconds=n) for n in range(100))
+
+    def sweep(n):
+        sweep_ingest(spark, f"{drop}/*", intake, work, [next(clock) for _ in range(n)])
+        return {(r["file_path"].split("drop/")[1], r["attempt"], r["status"], r["chunk_count"]) for r in intake.summaries(spark).collect()}
+
+    intake = Intake(f"{work}/lake", f"{work}/records", ingest_date=date(2025, 3, 1))
+    (drop / "a" / "same.txt").write_text("First of the name.")
+    (drop / "b" / "same.txt").write_text("Second of the name.\n\nWith two chunks in it.")
+    (drop / "a" / "odd [1]{x}.txt").write_text("Names with signs of a pattern.")
+    (drop / "a" / "bad.json").write_text('{"title": ')
+    (drop / "a" / "grown.txt").write_text("Half")
+    assert sweep(2) == set()
+    (drop / "a" / "grown.txt").write_text("Half and then the whole of it.")
+    done = {("a/same.txt", 1, "completed", 1), ("b/same.txt", 1, "completed", 2), ("a/odd [1]{x}.txt", 1, "completed", 1), ("a/bad.json", 1, "failed", 0)}
+    assert sweep(2) == done
+    done |= {("a/grown.txt", 1, "completed", 1)}
+    assert sweep(1) == done
+    texts = [r["text"] for r in lake_scan(spark, intake.root).where("source_filename = 'grown.txt'").collect()]
+    assert texts == ["Half and then the whole of it."]
+    states = {r["file_path"].rsplit("/", 1)[1]: r for r in intake.states(spark).collect()}
+    assert states["bad.json"]["error_file"].endswith("/a/bad.json.error.json") and states["grown.txt"]["error_file"] is None
+    # Asked for again it fails again; mended it is the third attempt and done. A restart offers nothing.
+    ask_again(intake.states(spark).where("status = 'failed'").selectExpr("file_path AS path"), f"{work}/observations", next(clock))
+    done |= {("a/bad.json", 2, "failed", 0)}
+    assert sweep(3) == done
+    (drop / "a" / "bad.json").write_text('{"title": "t", "content": "Mended."}')
+    done |= {("a/bad.json", 3, "completed", 2)}
+    assert sweep(3) == done
+    settle_offered(spark, intake, work)
+    assert sweep(1) == done
+    state = [r for r in intake.states(spark).collect() if r["file_path"].endswith("bad.json")][0]
+    assert (state["attempt"], state["status"], state["error_file"]) == (3, "completed", None)
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "") != ROCKSDB
+
+
+def test_scan_of_a_domain_lists_its_folder_only(spark, tmp_path):
+    root = str(tmp_path / "lake")
+    rows = [(f"c{i}", "d", d, "f", "MISC", date(2024, 1, 1), "General", False, "t", [1.0], "{}") for i, d in enumerate(["a b", "finance"])]
+    names = "chunk_id string, doc_id string, domain string, source_filename string, form_type string, filing_date date, section string, is_table boolean, text string, embedding array<float>, metadata_json string"
+    write_lake(spark.createDataFrame(rows, names), root)
+    (tmp_path / "lake" / "domain=finance" / "year=2024" / "month=01" / "day=01" / "broken.parquet").write_bytes(b"no parquet")
+    found = lake_scan(spark, root, " A B ")
+    assert [(r["chunk_id"], r["domain"], r["month"]) for r in found.collect()] == [("c0", "a b", 1)]
+    assert all("domain=a" in f for f in found.inputFiles())
+    assert lake_scan(spark, root, "none").count() == 0
+
+
 def test_one_observation_at_a_time():
     second = 1_000_000
     state, done = advance(None, 5, 0, 0, second, 2)
