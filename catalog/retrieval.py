@@ -11,7 +11,7 @@ from catalog.views import TABLES, table, view, with_views
 from quire.functions.text import WHITESPACE
 from quire.functions.vectors import hash_vector
 from quire.operators import presentation, retrieval
-from quire.operators.evaluation import evaluation_summary, retrieval_eval
+from quire.operators.evaluation import class_eval, evaluation_summary
 from quire.plans.ask import Request, answer, ask, request_error
 from quire.plans.console import read_only_sql
 
@@ -114,11 +114,10 @@ def evaluation(spark, sf):
     chunks = lake(spark, sf)
     queries = query_table(spark, sf)
     hits = retrieval.multi_query_search(chunks.select("chunk_id", "embedding"), queries, 10)
-    # A query's own row names its domain and form: an equi-join, one row per query on the left.
-    own = chunks.select(F.substring("chunk_id", 2, 9).cast("bigint").alias("query_id"), "domain", "form_type")
-    asked = own.join(queries.select("query_id"), "query_id", "left_semi")
-    truth = chunks.join(asked, ["domain", "form_type"]).select("query_id", "chunk_id")
-    result = retrieval_eval(hits, truth, 0.1, 0.01)
+    classes = chunks.select("chunk_id", F.concat_ws("/", "domain", "form_type").alias("class"))
+    # A query's own row names its class.
+    named = classes.select(F.substring("chunk_id", 2, 9).cast("bigint").alias("query_id"), "class")
+    result = class_eval(hits, classes, named.join(queries.select("query_id"), "query_id", "left_semi"), 0.1, 0.01)
     return result.withColumns({"precision": F.round("precision", 6), "recall": F.round("recall", 6)})
 
 

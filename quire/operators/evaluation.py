@@ -24,6 +24,38 @@ def retrieval_eval(
         F.count("relevant").alias("relevant"),
         F.count(F.col("hit") + F.col("relevant")).alias("matched"),
     )
+    return _ratios(counts, least_precision, least_recall)
+
+
+def class_eval(
+    hits: DataFrame,
+    chunk_classes: DataFrame,
+    query_classes: DataFrame,
+    least_precision: float = 0.5,
+    least_recall: float = 0.5,
+) -> DataFrame:
+    """``retrieval_eval`` where the truth is a rule: a chunk is relevant to the queries of its class.
+
+    ``chunk_classes`` holds (chunk_id, class) once each, ``query_classes`` (query_id, class) once each; null is no class.
+    The number of relevant chunks comes from the sizes of the classes and the matched ones from the hits alone, so no
+    pair of query and relevant chunk is ever listed.
+    """
+    sizes = chunk_classes.groupBy("class").agg(F.count(F.lit(1)).alias("size"))
+    relevant = query_classes.join(sizes, "class").groupBy("query_id").agg(F.sum("size").alias("relevant"))
+    found = hits.select("query_id", "chunk_id").distinct()
+    held = found.join(chunk_classes, "chunk_id", "left")
+    own = query_classes.select("query_id", "class", F.lit(1).alias("matched"))
+    matched = held.join(own, ["query_id", "class"], "left").groupBy("query_id").agg(
+        F.count_distinct("chunk_id").alias("retrieved"), F.count("matched").alias("matched")
+    )
+    zero = F.lit(0).cast("bigint")
+    counts = matched.join(relevant, "query_id", "full").select(
+        "query_id", *[F.coalesce(c, zero).alias(c) for c in ("retrieved", "relevant", "matched")]
+    )
+    return _ratios(counts, least_precision, least_recall)
+
+
+def _ratios(counts: DataFrame, least_precision: float, least_recall: float) -> DataFrame:
     ratios = counts.withColumns(
         {
             "precision": F.coalesce(F.col("matched") / F.nullif("retrieved", F.lit(0)), F.lit(0.0)),

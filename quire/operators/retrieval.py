@@ -237,36 +237,50 @@ def _tile_hits(k: int, lenient: bool):
     return run
 
 
+BROADCAST_BYTES = 8 << 20  # of query vectors that every task may hold
+
+
+def _met(tiles: DataFrame, asked: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every tile with every block of queries.
+
+    Queries are counted first. Up to BROADCAST_BYTES of them go to every task and the tiles stay where they were read;
+    each tile finds one row, all blocks as an array. More of them meet the tiles by an equi-join on slots.
+    """
+    spark = tiles.sparkSession
+    parts = ("dim", "keys", "marks", "vectors", "element")
+    size = queries.agg(F.sum(F.size("embedding") * 8 + 32)).first()[0] or 0
+    left = [F.col(c).alias(f"t_{c}") for c in parts]
+    if size <= BROADCAST_BYTES:
+        row = F.struct("name", *[F.col(c).alias(f"q_{c}") for c in parts])
+        blocks = asked.agg(F.collect_list(row).alias("blocks")).withColumn("all", F.lit(0))  # of checked size
+        met = tiles.select(*left, F.lit(0).alias("all")).join(F.broadcast(blocks), "all")
+        return met.select(F.explode("blocks").alias("block"), *[f"t_{c}" for c in parts]).select("block.*", *[f"t_{c}" for c in parts])
+    slots = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = tiles.select(F.pmod(F.xxhash64("keys"), F.lit(slots)).alias("slot"), *left)
+    spread = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
+    return spread.select("slot", "name", *[F.col(c).alias(f"q_{c}") for c in parts]).join(placed, "slot").drop("slot")
+
+
 def multi_query_search(
     lake: DataFrame, queries: DataFrame, k: int = 5, lenient: bool = False, block: int = QUERY_BLOCK
 ) -> DataFrame:
     """Top k per query for a table of queries (query_id, embedding); query_id is unique, null vectors find nothing.
 
-    Both sides are packed into rows of bounded size, and every block of queries meets every tile of chunks by an equi-join
-    on slots, whatever the number of queries: one scan of the vectors, nothing through the driver. A task keeps k hits
-    per query while it works through its tiles. The other columns are read for the winners only, found again by
-    chunk_id and a hash of the vector; a lake given with chunk_id and embedding alone needs no second look.
+    Both sides are packed into rows of bounded size and every block of queries meets every tile of chunks, whatever the
+    number of queries: one scan of the vectors, nothing through the driver. A task keeps k hits per query while it works
+    through its tiles. The other columns are read for the winners only, found again by chunk_id and, in what that finds,
+    a hash of the vector; a lake given with chunk_id and embedding alone needs no second look.
     """
-    spark = lake.sparkSession
     columns = [c for c in HIT_COLUMNS if c in lake.columns]
-    slots = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     tiles = _packed(lake.select("chunk_id", "embedding"), "chunk_id", TILE)
-    tiles = tiles.withColumn("slot", F.pmod(F.xxhash64("keys"), F.lit(slots)))
     asked = _packed(queries.select(F.col("query_id").cast("bigint").alias("query_id"), "embedding"), "query_id", block)
-    asked = asked.withColumn("name", F.xxhash64("keys", "vectors"))
-    asked = asked.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slots - 1).cast("bigint"))))
-    parts = ("dim", "keys", "marks", "vectors", "element")
-    met = asked.select("slot", "name", *[F.col(c).alias(f"q_{c}") for c in parts]).join(
-        tiles.select("slot", *[F.col(c).alias(f"t_{c}") for c in parts]), "slot"
-    )
-    hits = met.drop("slot", "q_marks").mapInArrow(
-        _tile_hits(k, lenient), "query_id bigint, chunk_id string, mark bigint, similarity_score double"
-    )
+    met = _met(tiles, asked.withColumn("name", F.xxhash64("keys", "vectors")), queries).drop("q_marks")
+    hits = met.mapInArrow(_tile_hits(k, lenient), "query_id bigint, chunk_id string, mark bigint, similarity_score double")
     ranked = Window.partitionBy("query_id").orderBy(F.desc("similarity_score"), "chunk_id")
     best = hits.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     if columns == ["chunk_id"]:
         return best.select("chunk_id", "query_id", "similarity_score", "rank")
     winners = best.select("query_id", "chunk_id", "mark", "similarity_score").distinct()
-    rows = lake.withColumn("mark", F.xxhash64("embedding")).select(*columns, "mark")
-    found = rows.join(winners, ["chunk_id", "mark"]).select(*columns, "query_id", "similarity_score")
+    found = lake.select(*columns, "embedding").join(winners, "chunk_id").where(F.xxhash64("embedding") == F.col("mark"))
+    found = found.select(*columns, "query_id", "similarity_score")
     return found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)

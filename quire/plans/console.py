@@ -30,16 +30,46 @@ def guard(query: str) -> str:
     return text
 
 
+_RELATION = re.compile(r"Unresolved(?:Relation|TableOrView|Table|View|Identifier) \[([^\n]*?)\](?:,|\n|\Z|$)")
+_NAMED = re.compile(r"CTE \[([^\]\n]*)\]")
+
+
+def relations(spark: SparkSession, text: str) -> set[str]:
+    """Names of what a statement reads, in subqueries too, by its parsed plan; its own common table expressions apart.
+
+    A file read by its path shows as a name of two parts, the format and the path.
+    """
+    parsed = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
+    if parsed.getClass().getSimpleName() == "ExplainCommand":
+        parsed = parsed.logicalPlan()
+    plan = parsed.toString()
+    own = {n.strip().lower() for found in _NAMED.findall(plan) for n in found.split(",")}
+    return {n for n in _RELATION.findall(plan) if n.lower() not in own}
+
+
+def check_relations(spark: SparkSession, text: str, tables: Mapping[str, DataFrame] | None) -> None:
+    """PermissionError for a statement that reads anything but the given tables; without any, but known tables."""
+    given = {name.lower() for name in tables or {}}
+    for name in relations(spark, text):
+        known = name.lower() in given if given else spark.catalog.tableExists(".".join(f"`{p}`" for p in name.split(", ")))
+        if not known:
+            raise PermissionError(f"this console reads the given tables only, not {name}")
+
+
 def read_only_sql(
     spark: SparkSession,
     query: str,
     params: Sequence[Any] | None = None,
     tables: Mapping[str, DataFrame] | None = None,
 ) -> DataFrame:
-    """Run one reading statement with positional parameters over temp views of ``tables``; blank gives no rows."""
+    """Run one reading statement with positional parameters over temp views of ``tables``; blank gives no rows.
+
+    The parsed plan must name no other relation, so files cannot be read by their path.
+    """
     text = guard(query).rstrip(";")
     if not text:
         return spark.createDataFrame([], "empty string")
+    check_relations(spark, text, tables)
     held = {
         name: spark.table(name) if spark.catalog.tableExists(name) and spark.catalog.getTable(name).isTemporary else None
         for name in tables or {}

@@ -247,3 +247,60 @@ def test_console_leaves_views_alone(spark):
     spark.range(3).createOrReplaceTempView("mine")
     out = read_only_sql(spark, "SELECT count(*) AS n FROM mine JOIN other USING (id)", tables={"mine": spark.range(5), "other": spark.range(5)})
     assert out.first()["n"] == 5 and spark.table("mine").count() == 3 and not spark.catalog.tableExists("other")
+
+
+def test_truth_by_class_equals_truth_by_pairs(spark):
+    import random
+
+    from quire.operators.evaluation import class_eval, retrieval_eval
+
+    rng = random.Random(3)
+    chunks = [(f"c{i}", rng.choice(["a", "b", "c", None])) for i in range(60)]
+    asked = [(q, rng.choice(["a", "b", "none", None])) for q in range(12)] + [(3, "c")]
+    hits = [(q, f"c{rng.randrange(70)}") for q in range(2, 14) for _ in range(rng.randrange(9))]
+    truth = [(q, c) for q, x in asked for c, y in chunks if x is not None and x == y]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    found = frame(hits, "query_id bigint, chunk_id string")
+    want = retrieval_eval(found, frame(truth, "query_id bigint, chunk_id string"), 0.1, 0.1)
+    got = class_eval(found, frame(chunks, "chunk_id string, class string"), frame(asked, "query_id bigint, class string"), 0.1, 0.1)
+    key = lambda df: sorted(tuple(r[c] for c in want.columns) for r in df.collect())
+    assert key(got) == key(want) and len(key(want)) > 10
+
+
+def test_many_queries_meet_tiles_in_either_way(spark, monkeypatch):
+    from quire.operators import retrieval
+
+    rows = [(f"c{i}", [float(i % 7), float(i % 5), 1.0], f"text {i}") for i in range(200)] + [("c3", [9.0, 1.0, 0.0], "other")]
+    lake = spark.createDataFrame(rows, "chunk_id string, embedding array<float>, text string").repartition(3)
+    queries = spark.createDataFrame([(q, [float(q), 1.0, 2.0]) for q in range(9)] + [(99, None)], "query_id bigint, embedding array<double>")
+    few = sorted(map(tuple, retrieval.multi_query_search(lake, queries, 4, block=2).collect()))
+    plan = retrieval.multi_query_search(lake.select("chunk_id", "embedding"), queries, 4)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan or "Broadcast" in plan
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    many = sorted(map(tuple, retrieval.multi_query_search(lake, queries, 4, block=2).collect()))
+    assert few == many and len(few) == 36
+
+
+def test_console_reads_the_given_tables_only(spark, tmp_path):
+    (tmp_path / "secret.txt").write_text("key")
+    path = str(tmp_path / "secret.txt")
+    tables = {"mine": spark.range(3), "Other": spark.range(2)}
+    for query in (
+        "SELECT * FROM mine", "SELECT count(*) FROM MINE m JOIN other o ON m.id = o.id", "WITH w AS (SELECT * FROM mine) SELECT * FROM w",
+        "SELECT * FROM (VALUES (1)) v(x) WHERE x IN (SELECT id FROM mine)", "SELECT (SELECT max(id) FROM mine)", "SELECT 1",
+        "WITH a AS (SELECT 1 x), b AS (SELECT * FROM a) SELECT * FROM b, LATERAL (SELECT id FROM mine WHERE id > x)",
+    ):
+        read_only_sql(spark, query, tables=tables).collect()
+    for query in (
+        f"SELECT * FROM text.`{path}`", f"SELECT * FROM mine WHERE id IN (SELECT length(value) FROM text.`{path}`)",
+        f"WITH w AS (SELECT * FROM csv.`{path}`) SELECT * FROM w", f"SELECT (SELECT max(value) FROM text.`{path}`)",
+        f"EXPLAIN SELECT * FROM text.`{path}`", "SELECT * FROM elsewhere", f"SELECT * FROM mine UNION ALL SELECT length(value) FROM text.`{path}`",
+        f"SELECT * FROM mine m, LATERAL (SELECT value FROM text.`{path}` WHERE length(value) > m.id)", f"DESCRIBE TABLE text.`{path}`",
+        f"SELECT exists(SELECT 1 FROM text.`{path}`)", f"SELECT * FROM mine ORDER BY (SELECT max(value) FROM text.`{path}`)",
+    ):
+        with pytest.raises(PermissionError):
+            read_only_sql(spark, query, tables=tables).collect()
+    with pytest.raises(PermissionError):
+        read_only_sql(spark, f"SELECT * FROM text.`{path}`")
+    spark.range(1).createOrReplaceTempView("a_view")
+    assert read_only_sql(spark, "SELECT * FROM a_view").count() == 1
