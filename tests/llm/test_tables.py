@@ -77,6 +77,29 @@ def test_vector_links_against_all_pairs(spark):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+@pytest.mark.parametrize(("size", "dims"), [(400, 64), (1500, 64), (1500, 256)])
+def test_recall_on_planted_pairs(spark, size, dims):
+    """Pairs planted around the threshold, all rows against all: no link too many, and recall of those there are."""
+    rng = np.random.default_rng(size + dims)
+    base = rng.normal(size=(size, dims))
+    base /= np.linalg.norm(base, axis=1)[:, None]
+    turn = rng.normal(size=base.shape)
+    turn -= (turn * base).sum(axis=1)[:, None] * base
+    turn /= np.linalg.norm(turn, axis=1)[:, None]
+    cosine = rng.uniform(0.93, 0.99, size=size)[:, None]
+    near = cosine * base + np.sqrt(1 - cosine**2) * turn
+    vectors = np.concatenate([base, near, near[:20]])
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>").repartition(4)
+    want = brute_vectors(range(len(vectors)), vectors)
+    links = sum(n for n, _ in want.values())
+    assert links > size  # pairs count at both ends
+    got = {r.id: r for r in embedding_dedup.near_vectors(table).collect()}
+    assert all(got[i].n_links <= n for i, (n, _) in want.items())
+    recall = sum(r.n_links for r in got.values()) / links
+    print(f"recall {recall:.4f} of {links // 2} links, {size} pairs, {dims} dimensions")
+    assert recall >= 0.97
+
+
 def test_vectors_of_odd_rows(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 16))
