@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# Names and types of stored records, here and below up to the profiles.
 LAKE = T.StructType(
     [
         T.StructField("chunk_id", T.StringType(), False),
