@@ -9,13 +9,15 @@ from pyarrow import fs
 from pyspark.sql import functions as F
 
 from catalog.documents import CHUNKS, SLICED, all_docs, html_docs, tokens_sql
-from catalog.retrieval import SCORED, lake, query_vector, rounded
+from catalog.retrieval import EXAMPLE, PROMPT_VECTOR, SCORED, lake, query_vector, rounded
+from catalog.retrieval import ORACLES as RANKED
 from catalog.views import table, view, with_views
 from quire.functions.display import format_bytes, format_item_size, format_volume
 from quire.functions.text import base_name
-from quire.operators import retrieval, telemetry
+from quire.operators import bounded, retrieval, telemetry
 from quire.operators.queue import dispatch_once
 from quire.plans import ingest
+from quire.sources.bounds import add_bounds
 from quire.sources.lake import lake_files, lake_scan, missing_embeddings, write_lake
 from quire.sources.scratch import scratch_dir
 from quire.streaming.intake import Intake, sweep_ingest
@@ -50,6 +52,44 @@ def lake_search(spark, sf):
     return rounded(hits).select("chunk_id", "filing_date", "text", "similarity_score")
 
 
+def measured(spark, sf):
+    root = written(spark, sf)
+    add_bounds(spark, root)
+    return root
+
+
+def bounded_search(spark, sf):
+    """The same search; files whose bounds rule them out are not opened."""
+    options = {"start_date": date(2024, 3, 1), "end_date": date(2024, 9, 30), "k": 15}
+    hits = bounded.search_bounded(spark, measured(spark, sf), query_vector(spark, sf), **options)
+    return rounded(hits).select("chunk_id", "filing_date", "text", "similarity_score")
+
+
+def file_bounds(spark, sf):
+    """Every folder's best score for a query, and whether it stays below the bounds of the folder's files; those that
+    cannot hold one of the 15 best hits are marked as left unread."""
+    root, vector = measured(spark, sf), query_vector(spark, sf)
+    path = [F.col(c).cast("int").alias(c) for c in ("year", "month", "day")]
+    files = bounded.files_to_read(spark, root, vector, domain=None, k=15)
+    bounds = files.groupBy("domain", *path).agg(F.max("bound").alias("bound"), F.bool_or("read").alias("read"))
+    scores = retrieval.with_cosine(lake_scan(spark, root), vector).groupBy("domain", "year", "month", "day")
+    best = scores.agg(F.max("similarity_score").alias("best"), F.count("*").alias("rows"))
+    told = bounds.join(best, ["domain", "year", "month", "day"])
+    least = retrieval.top_k(retrieval.with_cosine(lake_scan(spark, root), vector).select("chunk_id", "similarity_score"), 15)
+    needed = told["best"] >= least.agg(F.min("similarity_score")).scalar()
+    holds = (F.col("best") <= F.col("bound")) & (F.col("read") | ~needed)
+    return told.select("domain", "year", "month", "day", "rows", F.round("best", 6).alias("best"), holds.alias("holds"))
+
+
+def prompt_stored(spark, sf):
+    return bounded.prompt_search_bounded(spark, measured(spark, sf), PROMPT_VECTOR)
+
+
+def example_stored(spark, sf):
+    hits = bounded.search_by_example_bounded(spark, measured(spark, sf), EXAMPLE)
+    return hits.withColumn("cosine_similarity", F.round("cosine_similarity", 4))
+
+
 def embedding_check(spark, sf):
     """Vectors of one label removed, of another emptied: the count and three identifiers a write would report."""
     label = F.substring("chunk_id", 2, 9).cast("int") % 10
@@ -162,6 +202,10 @@ QUERIES = {
     "lake_scan": scan,
     "write_lake": lake_write,
     "lake_search": lake_search,
+    "search_bounded": bounded_search,
+    "file_bounds": file_bounds,
+    "prompt_search_stored": prompt_stored,
+    "search_by_example_stored": example_stored,
     "embedding_check": embedding_check,
     "lake_files": files,
     "lake_stats": lake_stats,
@@ -186,6 +230,10 @@ FROM l WHERE domain = 'finance'""",
 array_to_string(list_transform(embedding, lambda v: CAST(CAST(round(CAST(v AS DOUBLE) * 1e4) AS BIGINT) AS VARCHAR)), ',') AS embedding FROM l""",
     "lake_search": f"""{SCORED} SELECT chunk_id, filing_date, text, round(s, 6) AS similarity_score FROM (SELECT * FROM scored
 WHERE domain = 'finance' AND filing_date BETWEEN DATE '2024-03-01' AND DATE '2024-09-30' ORDER BY s DESC, chunk_id LIMIT 15) WHERE s >= 0""",
+    "file_bounds": f"""{SCORED} SELECT domain, year(d)::INT AS year, month(d)::INT AS month, day(d)::INT AS day, count(*) AS rows,
+round(max(s), 6) AS best, true AS holds FROM (SELECT *, coalesce(filing_date, DATE '{TODAY}') AS d FROM scored) GROUP BY ALL""",
+    "prompt_search_stored": RANKED["prompt_search"],
+    "search_by_example_stored": RANKED["search_by_example"],
     "embedding_check": f"""{V}, m AS (SELECT chunk_id FROM chunk_lake WHERE CAST(substr(chunk_id, 2, 9) AS INT) % 10 IN (3, 4))
 SELECT count(*) AS missing, array_to_string(list(chunk_id ORDER BY chunk_id)[1:3], ',') AS examples FROM m""",
     "lake_files": f"""{DATED} SELECT DISTINCT domain, strftime(d, '%Y') AS year, strftime(d, '%m') AS month, strftime(d, '%d') AS day, true AS well_formed FROM l""",
@@ -218,3 +266,4 @@ FROM docs LEFT JOIN n ON n.doc_id = docs.filename""",
     "pipeline_search": f"""{CHUNKS} SELECT DISTINCT doc_id AS page, 1.0::DOUBLE AS similarity_score FROM chunks
 WHERE doc_id IN (SELECT filename FROM raw_html)""",
 }
+ORACLES["search_bounded"] = ORACLES["lake_search"]

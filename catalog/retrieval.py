@@ -18,6 +18,8 @@ from quire.plans.console import read_only_sql
 PROMPT = "revenue growth and operating income"
 # A twelve-digit text of the prompt vector serves both engines.
 PROMPT_SQL = "[" + ", ".join(f"{v:.12f}" for v in hash_vector(PROMPT, 64)) + "]::DOUBLE[]"
+PROMPT_VECTOR = [round(v, 12) for v in hash_vector(PROMPT, 64)]
+EXAMPLE = ["Tion and", "the by"]
 BLANK_SQL = "'" + WHITESPACE + "'"
 
 
@@ -96,12 +98,12 @@ def result_table(spark, sf):
 
 
 def search_by_example(spark, sf):
-    hits = retrieval.search_by_example(lake(spark, sf), ["Tion and", "the by"])
+    hits = retrieval.search_by_example(lake(spark, sf), EXAMPLE)
     return hits.withColumn("cosine_similarity", F.round("cosine_similarity", 4))
 
 
 def prompt_search(spark, sf):
-    return retrieval.prompt_search(lake(spark, sf), [round(v, 12) for v in hash_vector(PROMPT, 64)])
+    return retrieval.prompt_search(lake(spark, sf), PROMPT_VECTOR)
 
 
 def multi_query_search(spark, sf):
