@@ -2,6 +2,7 @@ import json
 import os
 from datetime import date, datetime, timedelta, timezone
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ from quire.sources import queue as listings
 from quire.sources.documents import intake_filter, raw_scan, sidecar_files
 from quire.sources.lake import lake_scan, write_lake
 from quire.streaming.intake import Intake, ask_again, settle_offered, stream_ingest, sweep_ingest, watch
-from quire.streaming.stability import ROCKSDB, advance, stream_write_complete, write_complete
+from quire.streaming.stability import ROCKSDB, Seen, advance, stream_write_complete, summarise, through, write_complete
 from tests.test_retrieval import ROWS, SCHEMA
 
 DAY = date(2025, 3, 1)
@@ -168,8 +169,44 @@ def test_batch_write_completeness_is_exact_for_any_gaps(spark, block):
     rows = observation_rows()
     start = datetime(2024, 1, 1)
     df = spark.createDataFrame([(p, start + timedelta(seconds=t), s) for p, t, s in rows], "path string, observed_at timestamp, size bigint")
-    got = write_complete(df.repartition(4), 1.0, 2, block_seconds=block).collect()
-    assert sorted((r["path"], (r["observed_at"] - start).total_seconds()) for r in got) == fold(rows, 1.0, 2)
+    for many in (5, 10**9):
+        got = write_complete(df.repartition(4), 1.0, 2, block_seconds=block, many=many).collect()
+        assert sorted((r["path"], (r["observed_at"] - start).total_seconds()) for r in got) == fold(rows, 1.0, 2)
+
+
+@pytest.mark.parametrize("checks", [1, 2, 4])
+def test_blocks_do_to_any_state_what_their_observations_do(checks):
+    rng = np.random.default_rng(checks)
+    for trial in range(300):
+        n, step = int(rng.integers(1, 40)), int(rng.integers(1, 12))
+        at = np.cumsum(rng.integers(0, step, n)).astype(np.int64)
+        size = np.repeat(rng.integers(1, 3, n), rng.integers(1, 9, n))[:n].astype(np.int64)
+        modified = (rng.random(n) < 0.05).astype(np.int64)
+        interval = int(rng.integers(0, 15))
+        block = summarise(size, modified, at, interval, checks)
+        for seen in [None] + [Seen(int(size[0]), 0, int(at[0]) - g, c) for g in range(17) for c in range(checks)]:
+            state = seen
+            for values in zip(size.tolist(), modified.tolist(), at.tolist()):
+                state, _ = advance(state, *values, interval, checks)
+            assert through(block, seen, interval) == state, (trial, seen)
+
+
+@pytest.mark.parametrize("many", [0, 50, 10**9])
+def test_one_path_that_never_changes_spreads_over_tasks(spark, many):
+    """9,000 of 10,000 observations are of one file of one size; its blocks are groups of their own."""
+    start = datetime(2024, 1, 1)
+    rows = [("hot", 0.25 * i, 7) for i in range(9000)] + [(f"p{i % 90}", 0.75 * (i // 90), 1 + i // 500) for i in range(1000)]
+    df = spark.createDataFrame([(p, start + timedelta(seconds=t), s) for p, t, s in rows], "path string, observed_at timestamp, size bigint")
+    done = write_complete(df, 1.0, 2, block_seconds=60, many=many)
+    got = sorted((r["path"], round((r["observed_at"] - start).total_seconds(), 1)) for r in done.collect())
+    assert got == sorted((p, round(t, 1)) for p, t in fold(rows, 1.0, 2)) and len(got) > 1000
+    if many == 50:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small tasks are merged otherwise
+        try:
+            parts = done.select(F.spark_partition_id().alias("task"), "path").where("path = 'hot'").distinct()
+            assert parts.count() > 4
+        finally:
+            spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_streaming_write_completeness(spark, tmp_path):
