@@ -100,6 +100,46 @@ def test_recall_on_planted_pairs(spark, size, dims):
     assert recall >= 0.97
 
 
+@pytest.mark.parametrize("block", [64, 1 << 15])
+def test_many_near_copies_share_codes(spark, monkeypatch, block):
+    """Tight groups of up to 300 vectors, in blocks of four and in blocks that hold a code whole; chains at the threshold."""
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(3, 16))
+    groups = [centres[g] + rng.normal(size=(size, 16)) * spread for g, (size, spread) in enumerate([(300, 0.001), (60, 0.05), (40, 0.25)])]
+    vectors = np.concatenate([*groups, groups[0][:30], rng.normal(size=(50, 16))])
+    order = rng.permutation(len(vectors))
+    rows = [(int(i), v.tolist()) for i, v in zip(order, vectors)]
+    want = brute_vectors([i for i, _ in rows], vectors)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = {r.id: r for r in embedding_dedup.near_vectors(table).collect()}
+    assert all(got[i].n_links <= n for i, (n, _) in want.items())
+    close = {int(i) for i in order[:360]} | {int(i) for i in order[400:430]}
+    assert all((got[i].n_links, got[i].component) == want[i] for i in close)
+    assert sum(r.n_links for r in got.values()) >= 0.9 * sum(n for n, _ in want.values())
+
+
+def test_links_told_join_what_the_hits_join():
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x, y = rng.permutation(60)[:30].astype(np.int64), np.arange(60, 60 + int(rng.integers(1, 30)))
+        hits = rng.random((len(x), len(y))) < rng.choice([0.02, 0.1, 0.6])
+        a, b = embedding_dedup._told(x, y, hits)
+        assert len(a) <= len(x) + len(y)
+
+        def parts(links):
+            part = {int(n): int(n) for n in [*x, *y]}
+            while True:
+                before = dict(part)
+                for u, v in links:
+                    part[u] = part[v] = min(part[u], part[v])
+                if part == before:
+                    return part
+
+        i, j = np.nonzero(hits)
+        assert parts(list(zip(a.tolist(), b.tolist()))) == parts(list(zip(x[i].tolist(), y[j].tolist())))
+
+
 def test_vectors_of_odd_rows(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 16))
