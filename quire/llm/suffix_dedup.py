@@ -18,6 +18,7 @@ LENGTH = 400
 SHARD = 6 << 20  # bytes of text sorted at once; a larger group of its own is one shard
 COMMON = 4096  # different pieces of a group that is sorted; a group of more is divided
 HELD = 128 << 20  # bytes of queued suffixes in memory; more go to disk
+WINDOW = 1 << 20  # starts of strings of one text whose anchors are found at once
 
 
 # --- suffix sorting ---------------------------------------------------------------------------------------------------
@@ -211,13 +212,27 @@ def repeated_starts(pieces: list[bytes], times: list[int], length: int) -> list[
 # --- sharding ---------------------------------------------------------------------------------------------------------
 
 
-def anchored(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchored(data: np.ndarray, length: int, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Runs of starts (first, last, anchor): all strings of `length` bytes that start in a run have their least half,
-    by hash and then from the left, at the anchor. Equal strings have it at the same distance."""
+    by hash and then from the left, at the anchor. Equal strings have it at the same distance.
+
+    A text is gone through `window` starts at a time, and a run that reaches over a border is put together again, so
+    what is held besides the text is a bounded number of bytes and the runs."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return (np.zeros(0, np.int64),) * 3
+    parts = [(at, _anchors(data[at : at + window + length - 1], length)) for at in range(0, n, window)]
+    first = np.concatenate([at + f for at, (f, _) in parts])
+    anchor = np.concatenate([at + a for at, (_, a) in parts])
+    new = np.concatenate([[True], anchor[1:] != anchor[:-1]])
+    first = first[new]
+    return first, np.append(first[1:] - 1, n - 1), anchor[new]
+
+
+def _anchors(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First starts and anchors of the runs of one window."""
     half = length // 2
     n = len(data)
-    if n < length:
-        return (np.zeros(0, np.int64),) * 3
     up, down = POWERS.to(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:-1], out=sums[1:])
@@ -232,7 +247,7 @@ def anchored(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
     windows = n - length + 1
     least = (np.minimum(back[:windows], fore[w - 1 : w - 1 + windows]) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], least[1:] != least[:-1]]))
-    return first, np.append(first[1:] - 1, windows - 1), least[first]
+    return first, least[first]
 
 
 def _runs(keys: list, flags: list[np.ndarray], shifts: list[int]) -> list[tuple]:
