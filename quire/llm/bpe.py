@@ -107,45 +107,60 @@ def merge(pieces: list[bytes], ranks: Ranks) -> list[tuple[int, ...]]:
 
 
 def merge_long(piece: bytes, ranks: Ranks) -> tuple[int, ...]:
-    """The tokens of one long piece, under the same tree as `merge`, without its rows side by side."""
+    """The tokens of one long piece, under a segment tree as in `merge`, without its rows side by side.
+
+    A node holds the least pair rank below it; the leftmost leaf of the root's rank is found from the top. Tree, ids and
+    neighbours are arrays of four-byte numbers: 20 to 28 bytes for each byte of the piece. A change goes up as far as it
+    changes a least rank.
+    """
     n = len(piece)
     width = 1 << (n - 1).bit_length()
-    ids = ranks.single[np.frombuffer(piece, np.uint8)]
-    first = ranks.of(ids[:-1], ids[1:])
-    leaves = np.full(width, NONE)
-    leaves[: n - 1] = np.where(first < NONE, first * width + np.arange(n - 1), NONE)
-    levels = [leaves]
-    while len(levels[-1]) > 1:
-        levels.append(np.minimum(levels[-1][::2], levels[-1][1::2]))
-    tree = [int(NONE)] + np.concatenate(levels[::-1]).tolist()
-    ids, after, before = ids.tolist(), list(range(1, n + 1)), list(range(-1, n - 1))
-    none, of = int(NONE), ranks.by_pair()
-
-    def put(leaf: int, value: int) -> None:
+    none, of = (1 << 31) - 1, ranks.by_pair()
+    tree = np.full(2 * width, none, np.int32)
+    own = ranks.single[np.frombuffer(piece, np.uint8)]
+    for at in range(0, n - 1, 1 << 20):
+        to = min(n - 1, at + (1 << 20))
+        tree[width + at : width + to] = np.minimum(ranks.of(own[at:to], own[at + 1 : to + 1]), none)
+    level = width // 2
+    while level:
+        np.minimum(tree[2 * level : 4 * level : 2], tree[2 * level + 1 : 4 * level : 2], out=tree[level : 2 * level])
+        level //= 2
+    own, after, before = own.astype(np.int32), np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
+    least, ids, nexts, priors = (memoryview(x) for x in (tree, own, after, before))
+
+    def put(leaf: int, rank: int) -> None:
         node = leaf + width
-        tree[node] = value
+        least[node] = rank
         while node > 1:
+            a, b = least[node], least[node ^ 1]
             node >>= 1
-            a, b = tree[2 * node], tree[2 * node + 1]
-            tree[node] = a if a < b else b
+            if b < a:
+                a = b
+            if least[node] == a:
+                break
+            least[node] = a
 
     def renew(left: int) -> None:
-        right = after[left]
-        rank = of.get(ids[left] << 32 | ids[right]) if right < n else None
-        put(left, none if rank is None else rank * width + left)
-
-    while tree[1] != none:
-        rank, left = divmod(tree[1], width)
-        right = after[left]
-        then = after[left] = after[right]
+        right = nexts[left]
+        put(left, of.get(ids[left] << 32 | ids[right], none) if right < n else none)
+
+    while (rank := least[1]) != none:
+        node = 1
+        while node < width:
+            node *= 2
+            if least[node] != rank:
+                node += 1
+        left = node - width
+        right = nexts[left]
+        then = nexts[left] = nexts[right]
         ids[left], ids[right] = rank, -1
         if then < n:
-            before[then] = left
+            priors[then] = left
         put(right, none)
         renew(left)
-        if before[left] >= 0:
-            renew(before[left])
-    return tuple(x for x in ids if x >= 0)
+        if priors[left] >= 0:
+            renew(priors[left])
+    return tuple(own[own >= 0].tolist())
 
 
 class Codec:
