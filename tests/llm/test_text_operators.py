@@ -343,6 +343,47 @@ def test_queues_that_overflow_to_disk_keep_their_order():
     assert queue.pop(3).tolist() == [x for k in range(30) for x in (k, 200 + k)] and not len(queue.pop(0))
 
 
+def held_by(run):
+    """The result of a call and the most megabytes it held at once."""
+    import tracemalloc
+
+    tracemalloc.start()
+    out = run()
+    most = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    return out, most
+
+
+def test_anchors_do_not_depend_on_the_window():
+    """Every start's anchor is the least half of its string by hash, then the leftmost, whatever the window."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for size, letters, length in [(0, 2, 8), (7, 2, 8), (8, 2, 8), (300, 1, 16), (900, 2, 16), (2000, 20, 40)]:
+        data = rng.integers(97, 97 + letters, size).astype(np.uint8)
+        half = length // 2
+        powers = suffix_dedup.POWERS.to(half + 1)[0][:half]
+        hashes = [int(suffix_dedup.mixed(((data[i : i + half].astype(np.uint64) + np.uint64(1)) * powers).sum(keepdims=True))[0]) >> 32 for i in range(size - half + 1)]
+        want = [min(range(i, i + length - half + 1), key=lambda j: (hashes[j], j)) for i in range(max(0, size - length + 1))]
+        for window in (1, 7, 64, 1 << 20):
+            first, last, anchor = suffix_dedup.anchored(data, length, window)
+            assert [a for f, e, a in zip(first, last, anchor, strict=True) for _ in range(f, e + 1)] == want
+            assert (anchor[1:] != anchor[:-1]).all()
+
+
+def test_a_very_long_text_is_worked_on_in_bounded_memory(spark):
+    import numpy as np
+
+    data = np.random.default_rng(3).integers(97, 123, 30_000_000).astype(np.uint8)
+    (first, last, _), most = held_by(lambda: suffix_dedup.anchored(data, 400))
+    assert first[0] == 0 and last[-1] == len(data) - 400 and most < 250
+    text = data[:6_000_000].tobytes().decode()
+    rows = [(1, text), (2, "x" + text[2_500_000:2_503_000] + "y"), (3, text[:300])]
+    out = {r.doc_id: r for r in suffix_dedup.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans) for i, r in out.items()} == {1: (6_000_000, 3000, 1), 2: (3002, 3000, 1), 3: (300, 0, 0)}
+    assert bytes(out[1].kept).decode() == text[:2_500_000] + text[2_503_000:] and bytes(out[2].kept) == b"xy"
+
+
 @pytest.mark.parametrize("length", [16, 64, 400])
 def test_removed_bytes_are_the_brute_force(spark, docs, length):
     texts = texts_of(docs)
@@ -521,6 +562,60 @@ def test_quality_scores_do_not_depend_on_batches(spark, docs):
     assert together[60] == together[61] == pytest.approx(1 / (1 + math.exp(-float(model[-1]))))
 
 
+def test_training_is_that_of_a_plain_trainer():
+    """Loops over features and numbers, without arrays of features: the same weight of every bucket, and the same score."""
+    import numpy as np
+    import pyarrow as pa
+
+    at = quality.Settings(buckets_log2=10, dim=4, epochs=3)
+    whole, golden = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mixed(h):
+        for _ in range(2):
+            h = (h ^ h >> 32) * 0xD6E8FEB86659FD93 & whole
+        return h ^ h >> 32
+
+    def families(text):
+        raw = text.encode()
+        for n in at.grams:
+            yield [((int.from_bytes(raw[i : i + n], "little") + n) * golden & whole) >> 54 for i in range(len(raw) - n + 1)]
+        words = [mixed(sum((b + 1) * pow(golden, k, 1 << 64) for k, b in enumerate(w)) & whole) for w in re.findall(rb"[^\x20\x09-\x0D]+", raw)]
+        yield [h >> 54 for h in words]
+        yield [mixed(a ^ b) >> 54 for a, b in zip(words, words[1:])]
+
+    def weights(text):
+        out = Counter()
+        for family in families(text):
+            for bucket in family:
+                out[bucket] += 1 / len(family)
+        return out
+
+    texts = ["good plain words here", "bad bad bad", "", "a", "more good words in a row", "bad words", "é ü plain", "x y z bad"]
+    labels = [1, 0, 1, 0, 1, 0, 1, 0]
+    rng = np.random.default_rng(at.seed)
+    inputs = (rng.uniform(-1, 1, (1 << 10, 4)) / 4).tolist()
+    output, bias = rng.normal(0, 0.1, (2, 4)).tolist(), [0.0, 0.0]
+    vectors, step = [weights(t) for t in texts], 0
+    for _ in range(at.epochs):
+        for i in rng.permutation(len(texts)):
+            rate = at.rate * (1 - step / (at.epochs * len(texts)))
+            step += 1
+            hidden = [sum(w * inputs[b][d] for b, w in vectors[i].items()) for d in range(4)]
+            e = [math.exp(sum(o * h for o, h in zip(output[c], hidden)) + bias[c]) for c in (0, 1)]
+            miss = [e[c] / sum(e) - (labels[i] == c) for c in (0, 1)]
+            back = [sum(output[c][d] * miss[c] for c in (0, 1)) for d in range(4)]
+            output = [[output[c][d] - rate * miss[c] * hidden[d] for d in range(4)] for c in (0, 1)]
+            bias = [bias[c] - rate * miss[c] for c in (0, 1)]
+            for b, w in vectors[i].items():
+                inputs[b] = [x - w * rate / sum(v * v for v in vectors[i].values()) * g for x, g in zip(inputs[b], back)]
+    want = [sum(x * (o1 - o0) for x, o0, o1 in zip(row, *output)) for row in inputs] + [bias[1] - bias[0]]
+    model = quality.train(texts, np.array(labels), at)
+    assert model == pytest.approx(want, abs=1e-4)
+    asked = [*texts, "unseen words"]
+    plain = [1 / (1 + math.exp(-sum(w * want[b] for b, w in weights(t).items()) - want[-1])) for t in asked]
+    assert quality.score_batch(pa.array(asked), model, at) == pytest.approx(plain, abs=1e-4)
+
+
 def test_quality_of_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(3, 1, 0), (7, 0, 0), (5, 1, None), (99, 0, 0), (None, 1, 1), (6, None, 0), (7, 0, 0)], "doc_id long, quality int, toxic int")
     rows = quality.score(odd, quality.fit_quality(odd, labels)).collect()
@@ -565,3 +660,29 @@ def test_both_merges_agree_on_random_bytes():
         for p, ids in zip(pieces, side, strict=True):
             if p not in own.ranks.ids:
                 assert list(ids) == library._encode_single_piece(p) if hasattr(library, "_encode_single_piece") else True
+
+
+def test_a_long_piece_is_merged_in_bounded_memory():
+    """Against a heap of pairs, which holds what the tree holds at its root."""
+    import heapq
+
+    ranks = bpe.codec(reference_encoding()[0], public_tokenizers.PATTERN).ranks
+    rng = random.Random(6)
+    piece = bytes(rng.choices(b"abcdehinorst", k=200_000)) + b"a" * 50_000 + bytes(rng.choices(range(256), k=50_000))
+    ids, pairs = ranks.single[list(piece)].tolist(), ranks.by_pair()
+    after, before = list(range(1, len(ids) + 1)), list(range(-1, len(ids) - 1))
+    heap = [(pairs[a << 32 | b], i, a, b) for i, (a, b) in enumerate(zip(ids, ids[1:])) if a << 32 | b in pairs]
+    heapq.heapify(heap)
+    while heap:
+        rank, i, a, b = heapq.heappop(heap)
+        j = after[i]
+        if ids[i] != a or j >= len(ids) or ids[j] != b:
+            continue
+        ids[i], ids[j], after[i] = rank, -1, after[j]
+        if after[j] < len(ids):
+            before[after[j]] = i
+        for k in (i, before[i]):
+            if k >= 0 and after[k] < len(ids) and (pair := ids[k] << 32 | ids[after[k]]) in pairs:
+                heapq.heappush(heap, (pairs[pair], k, ids[k], ids[after[k]]))
+    got, most = held_by(lambda: bpe.merge_long(piece, ranks))
+    assert list(got) == [x for x in ids if x >= 0] and most < 60
