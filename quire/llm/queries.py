@@ -129,7 +129,8 @@ QUERIES = {
     )
 }
 
-_WORDS = "|".join(w.literals[0] for w in url_filter.UNWANTED)
+_MANNER, _OFFERED = ("(" + "|".join(x) + ")" for x in (url_filter.MANNER, url_filter.OFFERED))
+_WORDS = "|".join((*url_filter.ALONE, f"{_MANNER}[^a-z0-9]{_OFFERED}", f"{_OFFERED}[^a-z0-9]{_MANNER}"))
 _OWN = "CASE " + " ".join(
     f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{h}{p}'"
     for _, h, p in sorted(HOST_RULES, key=lambda r: -len(r[1] + r[2]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -37,11 +38,17 @@ def pattern_rule(verdict: str, pattern: str, literals: Sequence[str]) -> Rule:
     return Rule(verdict, pattern, tuple(literals), pattern, -1)
 
 
-#: Hosts and paths that say what a page is. Each holds its literal as a whole token.
-UNWANTED = tuple(
-    pattern_rule("block", f"(?i)(^|[^a-z0-9]){word}([^a-z0-9]|$)", (word,))
-    for word in ("spam", "casino", "porn", "xxx", "viagra", "phishing", "malware", "warez")
-)
+def word_rule(verdict: str, *tokens: str) -> Rule:
+    """A rule for urls that hold the tokens next to each other, in any order, as whole words."""
+    orders = "|".join("[^a-z0-9]".join(x) for x in permutations(tokens))
+    return pattern_rule(verdict, f"(?i)(^|[^a-z0-9])({orders})([^a-z0-9]|$)", tokens)
+
+
+#: Words of hosts and paths that say what a page is, and what is offered how.
+ALONE = ("spam", "casino", "porn", "xxx", "viagra", "phishing", "malware", "warez")
+OFFERED = ("pills", "meds", "bets", "betting", "poker", "slots", "bonus", "loans", "credit", "cams", "dating", "torrents", "keygen", "cracks")
+MANNER = ("cheap", "free", "buy", "best", "online", "win", "instant", "live")
+UNWANTED = tuple(word_rule("block", w) for w in ALONE) + tuple(word_rule("block", m, o) for m in MANNER for o in OFFERED)
 
 
 def after_scheme(url: Column) -> Column:
@@ -61,6 +68,26 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(after_scheme(url), "^[^/?#]*([^?#]*)", 1)
 
 
+def rarest_tokens(urls: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+    """(token, filed): every rule under the one of its literals that the fewest rows of urls (tokens) hold."""
+    spark = urls.sparkSession
+    # As many rows as rules have literals: these tables are bounded by the rules given, not by the data.
+    schema = "rule int, verdict string, pattern string, name string, rank int, token string"
+    filed = spark.createDataFrame(
+        [(i, r.verdict, r.pattern, r.name, r.rank, t) for i, r in enumerate(rules) for t in sorted(set(r.literals))], schema
+    )
+    literals = [t for r in rules for t in r.literals]
+    known = F.array(*[F.lit(t) for t in sorted(set(literals))]) if literals else F.array().cast("array<string>")
+    seen = urls.select(F.explode(F.array_intersect("tokens", known)).alias("token")).groupBy("token").agg(
+        F.count("*").alias("urls")
+    )
+    rarest = Window.partitionBy("rule").orderBy(F.coalesce("urls", F.lit(0)), "token")
+    index = filed.join(seen, "token", "left").withColumn("place", F.row_number().over(rarest)).where("place = 1")
+    return index.groupBy("token").agg(
+        F.collect_list(F.struct("rule", "verdict", "pattern", "name", "rank")).alias("filed")
+    )
+
+
 def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_col: str = "url",
           default: str = "allow") -> DataFrame:
     """(id, host, path, rule, verdict): the fitting rule of highest rank for every url.
@@ -71,27 +98,12 @@ def judge(pages: DataFrame, rules: Sequence[Rule], id_col: str = "page_id", url_
     Ties of rank go to the first by name. A null url, or one without ://, has an empty host and path and may fit
     pattern rules only; no fitting rule gives the default verdict. Repeated ids are judged row by row.
     """
-    spark = pages.sparkSession
     urls = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"))
     urls = urls.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     held = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce("url", F.lit(""))), F.lit(f"({TOKEN})"), 1))
     urls = urls.withColumn("tokens", held)
 
-    # As many rows as rules have literals: these tables are bounded by the rules given, not by the data.
-    schema = "rule int, verdict string, pattern string, name string, rank int, token string"
-    filed = spark.createDataFrame(
-        [(i, r.verdict, r.pattern, r.name, r.rank, t) for i, r in enumerate(rules) for t in sorted(set(r.literals))], schema
-    )
-    literals = [t for r in rules for t in r.literals]
-    known = F.array(*[F.lit(t) for t in sorted(set(literals))]) if literals else F.array().cast("array<string>")
-    seen = urls.select(F.explode(F.array_intersect("tokens", known)).alias("token")).groupBy("token").agg(
-        F.count("*").alias("urls")
-    )
-    rarest = Window.partitionBy("rule").orderBy(F.coalesce("urls", F.lit(0)), "token")
-    index = filed.join(seen, "token", "left").withColumn("place", F.row_number().over(rarest)).where("place = 1")
-    index = index.groupBy("token").agg(
-        F.collect_list(F.struct("rule", "verdict", "pattern", "name", "rank")).alias("filed")
-    )
+    index = rarest_tokens(urls, rules)
     table = index.agg(F.map_from_entries(F.collect_list(F.struct("token", "filed"))).alias("index"))
 
     found = urls.withColumn("index", table.scalar())  # of bounded size: the rules given

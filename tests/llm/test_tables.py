@@ -30,7 +30,9 @@ def test_url_verdicts_are_those_of_the_sql(spark):
 def test_url_filters_of_odd_rows(spark):
     urls = [None, "", "example.com/en/1", "HTTP://Example.COM/en/1", "http://example.com", "http://example.com/en", "x://www.example.com/en/?q#f",
             "x://a.www.example.com/en/2", "x://notexample.com/en/1", "x://com/", "x://net/es/1", "x://a.net/fr/", "x://a.org/net/es/",
-            "x://a.org/#.net#/es/", "x://h.org?x=.net/es/", "x://spam-farm.org/", "x://a.com:80/en/", "x://a://b.com/", "x://net/es/" + "p" * 50000, "x://a.net\n/es/"]
+            "x://a.org/#.net#/es/", "x://h.org?x=.net/es/", "x://spam-farm.org/", "x://a.com:80/en/", "x://a://b.com/", "x://net/es/" + "p" * 50000, "x://a.net\n/es/",
+            "x://cheap-pills.org", "x://a.org/PILLS.cheap", "x://a.org/cheap--pills", "x://a.org/pills?x&cheap", "x://cheapest-pills.org",
+            "x://a.org/pills-win-bonus", "x://free-bets.a.com/"]
     rows = [(i, u, "clash") for i, u in enumerate(urls)] + [(3, urls[3], "again")]
     pages = spark.createDataFrame(rows, "page_id long, url string, host string")
     rules = [url_filter.host_rule(*r) for r in queries.HOST_RULES] + list(url_filter.UNWANTED)
@@ -39,12 +41,24 @@ def test_url_filters_of_odd_rows(spark):
     con.register("pages", pages.select("page_id", "url").toPandas())
     want = sorted(con.sql(queries.ORACLES["op3_url_filters"]).fetchall(), key=str)
     assert sorted((tuple(r) for r in got.collect()), key=str) == want
+    verdicts = [r.verdict for r in sorted(got.collect(), key=lambda r: r.id)][-7:]
+    assert verdicts == ["block", "block", "allow", "allow", "allow", "block", "allow"]
     assert {r.verdict for r in url_filter.judge(pages, []).collect()} == {"allow"}
     assert url_filter.judge(pages.limit(0), rules).count() == 0
     tied = [url_filter.pattern_rule("block", "b", ["com"]), url_filter.pattern_rule("deny", "a", ["com"])]
     assert url_filter.judge(pages.where("page_id = 7"), tied).first().verdict == "deny"
 
 
+def test_rules_are_filed_under_their_rarest_token(spark):
+    """Of two tokens the one fewer urls hold fetches the rule, so a frequent one costs no expression."""
+    urls = [(i, f"x://a.org/free/page{i}") for i in range(30)] + [(30, "x://a.org/free-bets"), (31, "x://a.org/bets/free")]
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    rules = [url_filter.word_rule("block", "free", "bets"), url_filter.word_rule("block", "free", "page7")]
+    assert {r.id for r in url_filter.judge(pages, rules).where("verdict = 'block'").collect()} == {7, 30, 31}
+    index = url_filter.rarest_tokens(pages.selectExpr("split(substring(url, 11), '[^a-z0-9]+') AS tokens"), rules)
+    assert {(r.token, len(r.filed)) for r in index.collect()} == {("bets", 1), ("page7", 1)}
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(300, 380)] + [(7, 7), (None, 3), (400, 401), (401, 400)]
     out = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
