@@ -14,7 +14,7 @@ from quire.sources import filings as indexes
 from quire.sources import queue as listings
 from quire.sources import records
 from quire.sources.documents import spread
-from quire.sources.scratch import scratch_dir
+from quire.sources.scratch import numbered_files, put_files, scratch_dir
 
 
 def ticker_index(spark, sf):
@@ -74,11 +74,11 @@ def queue_files(spark, sf):
     """The queue's documents written one per file into the three folders and listed again."""
     base = scratch_dir(spark, "queue")
     docs = spread(view(spark, sf, "queue")).select("status", F.repeat(F.lit("x"), F.col("file_size_bytes").cast("int")).alias("text"))
-    folders = {}
-    for status in listings.STATUSES:
-        folders[status] = f"{base}/{status.lower()}"
-        docs.where(F.col("status") == status).select("text").write.option("maxRecordsPerFile", 1).text(folders[status])
-    files = listings.queue_files(spark, *folders.values()).where(F.col("filename").endswith(".txt"))
+    folders = [status.lower() for status in listings.STATUSES]
+    name, content = numbered_files(F.col("text"))
+    placed = docs.where(F.col("status").isin(*listings.STATUSES)).select(F.concat_ws("/", F.lower("status"), name).alias("name"), content)
+    put_files(placed, base, folders)
+    files = listings.queue_files(spark, *[f"{base}/{f}" for f in folders]).where(F.col("filename").endswith(".txt"))
     # Each text file ends with one line end, which is not counted.
     return files.groupBy("status").agg(
         F.count(F.lit(1)).alias("files"), F.sum(F.col("file_size_bytes") - 1).alias("bytes")

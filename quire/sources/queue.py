@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions.text import base_name, decode_text
 from quire.schema import ERROR_SUFFIX, UNLISTED_SUFFIXES
-from quire.sources.documents import sidecar_files
+from quire.sources.documents import scan_tasks, sidecar_files
 from quire.sources.scratch import path_exists
 
 STATUSES = ("PENDING", "PROCESSED", "FAILED")
@@ -21,7 +21,7 @@ def is_listed(name: Column) -> Column:
 
 
 def _listing(spark: SparkSession, directory: str, status: str) -> DataFrame:
-    files = spark.read.format("binaryFile").load(directory).select("path", "length", "modificationTime")
+    files = scan_tasks(spark.read.format("binaryFile").load(directory).select("path", "length", "modificationTime"))
     return files.select(
         base_name(F.col("path")).alias("filename"),
         F.lit(status).alias("status"),

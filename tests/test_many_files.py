@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from quire.sources import queue as listings
 from quire.sources.documents import raw_scan
 from quire.sources.scratch import numbered_files, put_files
 
@@ -35,3 +36,11 @@ def test_scan_of_small_files_takes_few_tasks(spark, tmp_path, small_splits):
     docs = raw_scan(spark, str(tmp_path))
     assert docs.count() == 120
     assert docs.rdd.getNumPartitions() <= 24
+
+
+def test_queue_listing_takes_few_tasks(spark, tmp_path, small_splits):
+    for n in range(120):
+        (tmp_path / f"{n}.htm").write_text("x")
+    files = listings.queue_files(spark, str(tmp_path), "/none/a", "/none/b")
+    assert files.count() == 120
+    assert files.rdd.getNumPartitions() <= 24
