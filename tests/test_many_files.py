@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from quire.sources import queue as listings
 from quire.sources.documents import raw_scan
-from quire.sources.scratch import numbered_files, put_files
+from quire.sources.scratch import numbered_files, paths_exist, put_files
+from quire.streaming.intake import Intake, intake_session
 
 
 @pytest.fixture
@@ -44,3 +45,26 @@ def test_queue_listing_takes_few_tasks(spark, tmp_path, small_splits):
     files = listings.queue_files(spark, str(tmp_path), "/none/a", "/none/b")
     assert files.count() == 120
     assert files.rdd.getNumPartitions() <= 24
+
+
+def test_an_offered_batch_is_read_in_few_tasks(spark, tmp_path, small_splits):
+    for n in range(120):
+        (tmp_path / f"{n}.txt").write_text(f"text {n}")
+    session = intake_session(spark)
+    session.conf.set("spark.sql.files.maxPartitionBytes", "8m")
+    paths = [(f"file:{tmp_path}/{n}.txt", len(f"text {n}"), 1) for n in range(120)] + [(f"file:{tmp_path}/gone.txt", 1, 1)]
+    offered = session.createDataFrame(paths, "path string, size bigint, attempt int")
+    spark.sparkContext.setJobGroup("offered", "")
+    try:
+        assert Intake(str(tmp_path / "lake"), str(tmp_path / "records"))._read(offered).count() == 120
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    tracker = spark.sparkContext.statusTracker()
+    stages = [s for j in tracker.getJobIdsForGroup("offered") for s in tracker.getJobInfo(j).stageIds]
+    assert max(i.numTasks for i in map(tracker.getStageInfo, stages) if i) <= 24
+
+
+def test_paths_exist_in_order(spark, tmp_path):
+    (tmp_path / "a b.txt").write_text("x")
+    paths = [f"{tmp_path}/none", f"{tmp_path}/a b.txt", f"file:{tmp_path}/a b.txt", f"file://{tmp_path}/none"]
+    assert paths_exist(spark, paths) == [False, True, True, False]
