@@ -304,3 +304,13 @@ def test_console_reads_the_given_tables_only(spark, tmp_path):
         read_only_sql(spark, f"SELECT * FROM text.`{path}`")
     spark.range(1).createOrReplaceTempView("a_view")
     assert read_only_sql(spark, "SELECT * FROM a_view").count() == 1
+
+
+def test_grid_sends_each_side_to_its_row_or_column():
+    asked, stored, cells = 400 << 20, 4 << 30, 36
+    rows, columns = retrieval.grid(asked, stored, cells)
+    assert rows * columns >= cells
+    assert columns * asked + rows * stored <= min(cells * asked + stored, asked + cells * stored)
+    for scale in (1, 6, 100):  # whatever the sizes, one side of a cell stays bounded
+        rows, columns = retrieval.grid(scale * asked, scale * stored, cells)
+        assert min(scale * asked / rows, scale * stored / columns) <= retrieval.CELL_BYTES
