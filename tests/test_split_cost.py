@@ -33,3 +33,12 @@ def test_unclosed_blocks_do_not_rescan_the_page(spark):
     found = elements.with_elements(rows).first()["elements"]
     assert time.time() - started < 30
     assert [e["text"] for e in found] == ["end"]
+
+
+def test_the_table_function_is_no_python_call_for_each_row(spark):
+    splitting.register_splitter(spark, splitting.Limits(), name="cut_cheaply")
+    spark.createDataFrame([(1, "a b", False), (2, None, None)], "id int, text string, is_table boolean").createOrReplaceTempView("cheap")
+    out = spark.sql("SELECT id, s.* FROM cheap c, LATERAL cut_cheaply(c.text, c.is_table) s")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython [" in plan and "UDTF" not in plan and "Join" not in plan
+    assert [tuple(r) for r in out.collect()] == [(1, 0, "a b")]
