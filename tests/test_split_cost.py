@@ -42,3 +42,23 @@ def test_the_table_function_is_no_python_call_for_each_row(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython [" in plan and "UDTF" not in plan and "Join" not in plan
     assert [tuple(r) for r in out.collect()] == [(1, 0, "a b")]
+
+
+def test_words_of_a_slice_are_distinct_before_they_travel(spark, tmp_path):
+    tables = {
+        "documents": [(1, "one two one. " * 400 + "three", "en", "s", 1), (2, None, "en", "s", 0)],
+        "pages": [(1, "u", "<p>x x y</p>")],
+        "conversations": [(1, 0, "user", "hi")],
+    }
+    schemas = {
+        "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+        "pages": "page_id bigint, url string, html string",
+        "conversations": "conv_id bigint, turn int, role string, text string",
+    }
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, schemas[name]).write.parquet(f"{tmp_path}/{name}.parquet")
+    out = documents.split_bounds(spark, str(tmp_path))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"collect_list\(array_distinct\(regexp_extract_all", plan)
+    got = {r["doc_id"]: r["words"] for r in out.collect()}
+    assert got["whole-1"] == 3 and got["page_1.htm"] == 2
