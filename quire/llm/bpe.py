@@ -27,6 +27,7 @@ class Ranks:
             rows = [line.split() for line in file if line.strip()]
         self.ids = {base64.b64decode(token): int(rank) for token, rank in rows}
         self.tokens = {rank: token for token, rank in self.ids.items()}
+        self.decimals = {rank: str(rank) for rank in self.tokens}
         self.single = np.array([self.ids[bytes([b])] for b in range(256)], np.int64)
         keys, ranks = [], []
         for token, rank in self.ids.items():
@@ -204,8 +205,12 @@ class Codec:
                 yield list(chain.from_iterable([known[p] for p in pieces]))
 
     def decode(self, ids: list[int]) -> bytes:
-        tokens = self.ranks.tokens
-        return b"".join([tokens[i] for i in ids])
+        return b"".join(map(self.ranks.tokens.__getitem__, ids))
+
+    def digests(self, ids: list[int], decoded: bytes) -> tuple[int, str, str]:
+        """Their number, and the digests of their decimals, joined by blanks, and of the bytes."""
+        decimals = " ".join(map(self.ranks.decimals.__getitem__, ids))
+        return len(ids), hashlib.sha256(decimals.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
 
 _CODECS: dict[tuple[str, str], Codec] = {}
@@ -218,12 +223,8 @@ def codec(path: str, pattern: str) -> Codec:
     return _CODECS[path, pattern]
 
 
-def _digests(ids: list[int], decoded: bytes) -> tuple:
-    return len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()
-
-
 def _over(docs: DataFrame, path: str, pattern: str, text_col: str, columns: str,
-          make: Callable[[list[int], bytes], tuple]) -> DataFrame:
+          make: Callable[[Codec, list[int], bytes], tuple]) -> DataFrame:
     """The documents with what `make` gives for each text's ids and decoded bytes."""
     extra = docs.sparkSession.createDataFrame([], columns).schema
     docs = docs.drop(*extra.names)
@@ -236,7 +237,7 @@ def _over(docs: DataFrame, path: str, pattern: str, text_col: str, columns: str,
         for batch in batches:
             for at in range(0, len(batch), 1024):
                 part = batch.slice(at, 1024)
-                rows = [make(ids, own.decode(ids)) for ids in own.encode(part.column(text_col).to_pylist())]
+                rows = [make(own, ids, own.decode(ids)) for ids in own.encode(part.column(text_col).to_pylist())]
                 made = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *extra.names])
 
@@ -251,10 +252,10 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, text_col: str = "text"
     and merges the pair of least rank, leftmost first, until no pair is a token. Null and empty texts have no ids.
     The vocabulary is read on every executor from `path`. Rows are independent: repeated rows repeat their result.
     """
-    return _over(docs, path, pattern, text_col, f"{ids_col} array<int>, {decoded_col} binary", lambda ids, raw: (ids, raw))
+    return _over(docs, path, pattern, text_col, f"{ids_col} array<int>, {decoded_col} binary", lambda own, ids, raw: (ids, raw))
 
 
 def with_token_digests(docs: DataFrame, path: str, pattern: str, text_col: str = "text") -> DataFrame:
     """The documents with n_tokens, ids_sha256 (of the decimal ids, joined by blanks) and decoded_sha256 in place of the
     ids themselves; see with_tokens."""
-    return _over(docs, path, pattern, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", _digests)
+    return _over(docs, path, pattern, text_col, "n_tokens long, ids_sha256 string, decoded_sha256 string", Codec.digests)

@@ -686,3 +686,11 @@ def test_a_long_piece_is_merged_in_bounded_memory():
                 heapq.heappush(heap, (pairs[pair], k, ids[k], ids[after[k]]))
     got, most = held_by(lambda: bpe.merge_long(piece, ranks))
     assert list(got) == [x for x in ids if x >= 0] and most < 60
+
+
+def test_bpe_digests_of_ids_and_bytes():
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for ids in codec.encode(["", "One two  three\n", "naïve 漢字 " * 5]):
+        raw = codec.decode(ids)
+        plain = hashlib.sha256(" ".join(str(i) for i in ids).encode()).hexdigest()
+        assert codec.digests(ids, raw) == (len(ids), plain, hashlib.sha256(raw).hexdigest())
