@@ -154,6 +154,19 @@ def test_links_told_join_what_the_hits_join():
         assert parts(list(zip(a.tolist(), b.tolist()))) == parts(list(zip(x[i].tolist(), y[j].tolist())))
 
 
+def test_few_rows_are_sorted_for_the_sample(spark):
+    """The sample is the rows of least node, and tasks together send the driver little more than it, however many they are."""
+    table = spark.range(0, 5000, 1, 40).selectExpr("xxhash64(id) AS node", "id")
+    for sample in (1, 50, 1000, 5000, 9000):
+        low = embedding_dedup._low(table, 5000, sample)
+        assert low.count() <= min(5000, sample + 20 * sample**0.5)
+        want, got = (rows.orderBy("node").limit(sample).collect() for rows in (table, low))
+        assert got == want
+    close = table.selectExpr("abs(node) AS node", "id")  # nodes that are not spread as hashes are
+    want, got = (rows.orderBy("node").limit(50).collect() for rows in (close, embedding_dedup._low(close, 5000, 50)))
+    assert got == want
+
+
 def test_vectors_of_odd_rows(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 16))
