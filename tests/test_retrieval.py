@@ -1,6 +1,8 @@
 import math
 from datetime import date
 
+import numpy as np
+import pyarrow.compute as pc
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -281,6 +283,48 @@ def test_many_queries_meet_tiles_in_either_way(spark, monkeypatch):
     assert few == many and len(few) == 36
 
 
+@pytest.mark.parametrize("k", [1, 4])
+def test_many_queries_leave_out_no_chunk_that_counts(spark, monkeypatch, k):
+    """Equal, near, far and odd vectors, in bins of about 50: the hits of a full scan, and few pairs where chunks are equal."""
+    rng = np.random.default_rng(k)
+    stored = rng.normal(size=(3000, 24)).astype(np.float32)
+    stored[100:160], stored[300:320], stored[400:500] = stored[0], stored[5] * 2, stored[500:600] + 1e-6
+    stored[200], stored[201] = 0, np.nan
+    rows = [(f"c{i:05d}", v.tolist()) for i, v in zip(rng.permutation(3000).tolist(), stored)] + [("c00000", None), ("c00007", stored[9].tolist())]
+    lake = spark.createDataFrame(rows, "chunk_id string, embedding array<float>").repartition(6)
+    asked = stored[:1200].astype(float)
+    asked[600:800] += rng.normal(size=(200, 24)) * 0.02
+    asked[800:] += rng.normal(size=(400, 24)) * 3
+    rows = [(i, v.tolist()) for i, v in enumerate(asked)] + [(5000, None), (5001, [0.0] * 24), (None, asked[7].tolist()), (3, asked[9].tolist())]
+    queries = spark.createDataFrame(rows, "query_id bigint, embedding array<double>").repartition(3)
+    monkeypatch.setattr(retrieval, "TILE", 50)
+    met = spark.sparkContext.accumulator(0)
+    hits = retrieval._tile_hits
+
+    def counted(*options):
+        run = hits(*options)
+
+        def pairs(batch):
+            return pc.sum(pc.multiply(*(pc.list_value_length(batch.column(c)) for c in ("q_keys", "t_keys")))).as_py() or 0
+
+        return lambda batches: run(b for b in batches if met.add(pairs(b)) is None)
+
+    monkeypatch.setattr(retrieval, "_tile_hits", counted)
+
+    def found(asked):
+        got = retrieval.multi_query_search(lake, asked, k, block=64).collect()
+        return sorted((str(h.query_id), h["rank"], h.chunk_id, f"{h.similarity_score:.9f}") for h in got)
+
+    want = found(queries)
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 1000)
+    assert found(queries) == want
+    if k == 1:  # each query's own vector is stored
+        same = queries.where("query_id < 200")
+        before = met.value
+        found(same)
+        assert 0 < met.value - before < 0.1 * 200 * 3000
+
+
 def test_console_reads_the_given_tables_only(spark, tmp_path):
     (tmp_path / "secret.txt").write_text("key")
     path = str(tmp_path / "secret.txt")
