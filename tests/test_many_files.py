@@ -3,12 +3,14 @@
 import os
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from quire.sources import queue as listings
 from quire.sources.documents import raw_scan
 from quire.sources.scratch import numbered_files, paths_exist, put_files
 from quire.streaming.intake import Intake, intake_session
+from quire.streaming.stability import IntakeGate
 
 
 @pytest.fixture
@@ -68,3 +70,31 @@ def test_paths_exist_in_order(spark, tmp_path):
     (tmp_path / "a b.txt").write_text("x")
     paths = [f"{tmp_path}/none", f"{tmp_path}/a b.txt", f"file:{tmp_path}/a b.txt", f"file://{tmp_path}/none"]
     assert paths_exist(spark, paths) == [False, True, True, False]
+
+
+def test_the_gate_takes_rows_and_two_messages_a_path():
+    """The state of a path is fetched once and kept once, and what a sweep saw comes as rows, not as a frame a path."""
+    held, messages = {}, []
+
+    class Value:
+        def get(self):
+            messages.append("get")
+            return held.get(path)
+
+        def update(self, value):
+            messages.append("update")
+            held[path] = value
+
+    class Handle:
+        def getValueState(self, *args, **options):
+            return Value()
+
+    gate, offered = IntakeGate(1.0, 2, 60.0), []
+    gate.init(Handle())
+    seen = [(5, 1, 0, False), (5, 1, 1, False), (5, 1, 2, False), (5, 1, 3, False), (1, None, 4, True), (5, 1, 5, False), (5, 1, 7, False), (5, 1, 6, False)]
+    for sweep in (seen[:1], seen[1:2], seen[2:4], seen[4:]):
+        for path in ("a", "b"):
+            rows = (Row(path=path, size=s, modified=m, at=at * 1_000_000, again=again) for s, m, at, again in sweep)
+            offered += [(r.path, r.at // 1_000_000, r.attempt) for r in gate.handleInputRows((path,), rows, None)]
+    assert sorted(offered) == [(p, at, n) for p in "ab" for at, n in ((2, 1), (7, 2))]
+    assert len(messages) == 16
