@@ -66,6 +66,19 @@ def test_an_offered_batch_is_read_in_few_tasks(spark, tmp_path, small_splits):
     assert max(i.numTasks for i in map(tracker.getStageInfo, stages) if i) <= 24
 
 
+def test_files_that_are_there_are_not_asked_for_one_by_one(spark, tmp_path, monkeypatch):
+    from quire.streaming import intake
+
+    asked = []
+    monkeypatch.setattr(intake, "paths_exist", lambda s, paths: asked.append(len(paths)) or paths_exist(s, paths))
+    (tmp_path / "odd [1]{x}.txt").write_text("text")
+    told = [(f"file:{tmp_path}/{name}.txt", 4, 1) for name in ("odd [1]{x}", "gone [1]", "gone")]
+    read = lambda n: Intake("/none", "/none")._read(spark.createDataFrame(n, "path string, size bigint, attempt int"))
+    assert read(told[:1]).count() == 1 and asked == []
+    assert read(told).count() == 1 and asked == [3]
+    assert read(told[:2]).count() == 1 and read(told[1:]) is None and read(told[:0]) is None
+
+
 def test_paths_exist_in_order(spark, tmp_path):
     (tmp_path / "a b.txt").write_text("x")
     paths = [f"{tmp_path}/none", f"{tmp_path}/a b.txt", f"file:{tmp_path}/a b.txt", f"file://{tmp_path}/none"]
