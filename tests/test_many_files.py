@@ -111,3 +111,31 @@ def test_the_gate_takes_rows_and_two_messages_a_path():
             offered += [(r.path, r.at // 1_000_000, r.attempt) for r in gate.handleInputRows((path,), rows, None)]
     assert sorted(offered) == [(p, at, n) for p in "ab" for at, n in ((2, 1), (7, 2))]
     assert len(messages) == 16
+
+
+def test_the_gate_takes_observations_without_times():
+    """One without a time comes last, one without a time of change is a change; neither ends the stream."""
+    held = {}
+
+    class Value:
+        def get(self):
+            return held.get("state")
+
+        def update(self, value):
+            held["state"] = value
+
+    class Handle:
+        def getValueState(self, *args, **options):
+            return Value()
+
+    def offers(*sweeps):
+        held.clear()
+        gate = IntakeGate(1e-6, 2, 60.0)
+        gate.init(Handle())
+        rows = ([Row(path="a", size=5, modified=m, at=at, again=False) for m, at in sweep] for sweep in sweeps)
+        return [(r.modified, r.at) for sweep in rows for r in gate.handleInputRows(("a",), iter(sweep), None)]
+
+    assert offers([(1, None), (1, 9), (1, 0), (1, 5)]) == [(1, 9)]
+    assert offers([(1, None), (1, 3), (1, None), (1, 9)], [(1, 12)]) == [(1, None)]
+    assert offers([(None, at) for at in (0, 5, 10)], [(None, 15)]) == []
+    assert offers([(1, None)], [(1, 5)], [(1, None), (1, 9)]) == [(1, 9)]
